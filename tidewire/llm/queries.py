@@ -6,6 +6,7 @@ from .chat import op7_chat_formatting
 from .decontamination import op3_decontamination
 from .exact_dedup import op5_exact_dedup
 from .language import op2_language_id
+from .lines import op6_line_dedup
 from .packing import op4_best_fit_packing
 from .simhash import op8_simhash
 from .token_files import op1_token_files
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_simhash": op8_simhash,
     "op10_url_filters": op10_url_filters,
@@ -47,6 +49,21 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op6_line_dedup": """
+        WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        lines AS (SELECT doc_id, i AS pos, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM parts)),
+        firsts AS (SELECT doc_id, pos, line, row_number() OVER (ORDER BY doc_id, pos) AS o
+                   FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS rn FROM lines WHERE line <> '') WHERE rn = 1),
+        long AS (SELECT o, line, length(line) AS n FROM firsts WHERE length(line) >= 20),
+        variants AS (SELECT o, n, i, hash(substring(line, 1, i - 1) || substring(line, i + 1)) AS v
+                     FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM long)),
+        replaced AS (SELECT o FROM (SELECT o, min(o) OVER (PARTITION BY n, i, v) AS lead FROM variants) WHERE o <> lead),
+        added AS (SELECT greatest(variants.o, long.o) AS o FROM variants JOIN long ON variants.n = long.n + 1 AND variants.v = hash(long.line)),
+        stay AS (SELECT doc_id, pos FROM firsts WHERE o NOT IN (SELECT o FROM replaced UNION ALL SELECT o FROM added))
+        SELECT lines.doc_id, count(*) AS n_lines, count(*) FILTER (line = '' OR stay.pos IS NOT NULL) AS n_kept,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY lines.pos) FILTER (line = '' OR stay.pos IS NOT NULL), '')) AS text_sha256
+        FROM lines LEFT JOIN stay ON lines.doc_id = stay.doc_id AND lines.pos = stay.pos
+        GROUP BY lines.doc_id""",
     "op7_chat_formatting": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
