@@ -1,4 +1,9 @@
-"""Public tokenizers on the executors: exact ids of the `tokenizers` library, with a word cache."""
+"""Public tokenizers on the executors: exact ids of the `tokenizers` library, with a word cache.
+
+A byte-level BPE never merges across pre-tokens, so the library encodes each distinct pre-token once.
+Pre-tokens are found, hashed and looked up with numpy for a whole batch of texts at a time; only
+those that the cache does not know are encoded.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +12,21 @@ from itertools import islice
 
 import numpy as np
 
-#: Byte-level pre-tokens of the GPT-2 family (fixed pattern of the vocabulary).
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries in each of two caches, and as many again in their older generations.
-CACHE_WORDS = 300_000
-#: Characters of one text that are split at once; longer texts are cut where a pre-token ends.
+#: The pre-tokens that `_starts` finds (fixed pattern of the GPT-2 family):
+#: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+LETTER, NUMBER, OTHER, SPACE, BORDER, UNKNOWN = range(6)
+#: Code points from here on, and the controls that engines class differently, are left to the library.
+KNOWN_POINTS = 0x3000
+#: The cache starts anew when this many pre-tokens are in it.
+CACHE_WORDS = 1_000_000
+SLOT_BITS = 21
+#: Characters handled at once.
+PART_CHARS = 1 << 19
+#: Longer texts are cut where a pre-token ends.
 SLICE_CHARS = 1 << 20
+MIX = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0xD1342543DE82EF95
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -39,36 +53,24 @@ def vocab_size(name_or_path: str) -> int:
     return Tokenizer.from_file(vocabulary(name_or_path)).get_vocab_size(with_added_tokens=True)
 
 
-class Cache(dict):
-    """Two generations: when the young one is full, it becomes the old one, and what is used again moves up."""
-
-    def __init__(self, room: int):
-        super().__init__()
-        self.room, self.old = room, {}
-
-    def make_room(self, coming: int) -> None:
-        if len(self) + coming > self.room:
-            self.old = dict(self)
-            self.clear()
+def _classes() -> np.ndarray:
+    import regex
 
-    def revive(self, keys: list[str]) -> list[str]:
-        """Move up what the old generation holds; the keys that neither holds."""
-        old, gone = self.old, []
-        for k in keys:
-            if k in old:
-                self[k] = old[k]
-            else:
-                gone.append(k)
-        return gone
+    every = "".join(map(chr, range(KNOWN_POINTS)))
+    out = np.full(KNOWN_POINTS + 1, OTHER, np.uint8)
+    for kind, name in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        out[[m.start() for m in regex.finditer(name, every)]] = kind
+    out[0x1C:0x20] = UNKNOWN
+    out[KNOWN_POINTS] = UNKNOWN
+    return out
 
 
 class Encoder:
     """Ids as Tokenizer.encode(text, add_special_tokens=False) gives them.
 
-    A byte-level BPE never merges across pre-tokens, so the library encodes each distinct
-    pre-token once; and a single space before a word always starts a pre-token, so ids are also
-    kept for whole chunks between spaces. Texts that hold an added token's string, and
-    tokenizers of any other kind, go through the library whole.
+    Texts that hold an added token's string or characters that only the library classes, and
+    tokenizers of any other kind, go through the library whole. Pre-tokens are told apart by a
+    64-bit hash.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -80,103 +82,181 @@ class Encoder:
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         pre = repr(self.tok.pre_tokenizer)
         self.cached = "BPE(" in repr(self.tok.model)[:8] and self.tok.normalizer is None and pre.startswith("ByteLevel(") and "add_prefix_space=False" in pre and "use_regex=True" in pre
-        self.split = regex.compile(PRETOKEN).findall
         self.joins = regex.compile(r" \p{L}+").fullmatch
         self.border = regex.compile(r"(?<=\p{L})(?= \p{L})")
-        #: A space between white space, or at the end after it, belongs to a longer run: no chunk starts there.
-        self.runs = regex.compile(r"\s \s|\s $").search
-        self.words, self.chunks = Cache(cache_words), Cache(cache_words)
+        self.room = cache_words
+        if self.cached:
+            self.kinds = _classes()
+            with np.errstate(over="ignore"):
+                self.value = (np.arange(KNOWN_POINTS + 1, dtype=np.uint64) + np.uint64(1)) * MIX
+                self.value ^= self.value >> np.uint64(29)
+                self.value *= np.uint64(0xBF58476D1CE4E5B9)
+            self.powers = self._powers(BASE)
+            self.inverse = self._powers(pow(BASE, -1, 1 << 64))
+            self._forget()
+
+    @staticmethod
+    def _powers(base: int, n: int = PART_CHARS + SLICE_CHARS + 4096) -> np.ndarray:
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(1 << SLOT_BITS, np.uint64)
+        self.entry = np.zeros(1 << SLOT_BITS, np.int32)
+        self.begin, self.length, self.n = np.zeros(self.room, np.int64), np.zeros(self.room, np.int32), 0
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as an array of uint32; empty for null."""
-        if not text:
-            return np.zeros(0, np.uint32)
-        if not self.cached or any(a in text for a in self.added):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-        if len(text) <= SLICE_CHARS:
-            return np.frombuffer(self._chunked(text), "<u4")
-        parts, at = [], 0
-        while at < len(text):
-            cut = self.border.search(text, at + SLICE_CHARS) if at + SLICE_CHARS < len(text) else None
-            end = cut.start() if cut else len(text)
-            parts.append(self._chunked(text[at:end]))
-            at = end
-        return np.frombuffer(b"".join(parts), "<u4")
+        return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """encode() of each text; words that are new to the cache are learnt once for all of them."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        flat: list[str] = []
-        spans: list[tuple[int, str, int, int]] = []
+        """encode() of each text."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        part: list[int] = []
+        size = 0
         for k, text in enumerate(texts):
-            if not text or not self.cached or len(text) > SLICE_CHARS or any(a in text for a in self.added) or self.runs(text):
-                out[k] = self.encode(text)
+            if not text:
+                continue
+            if not self.cached or any(a in text for a in self.added):
+                out[k] = self._library(text)
+            elif len(text) > SLICE_CHARS:
+                out[k] = np.concatenate([self._part([x])[0] for x in self._slices(text)])
             else:
-                first, *rest = text.split(" ")
-                spans.append((k, first, len(flat), len(flat) + len(rest)))
-                flat += rest
-        got = self._lookup(flat)
-        heads = self._heads([first for _, first, _, _ in spans])
-        for (k, _, a, b), head in zip(spans, heads):
-            out[k] = np.frombuffer(head + b"".join(got[a:b]), "<u4")
+                part.append(k)
+                size += len(text) + 1
+                if size > PART_CHARS:
+                    for i, ids in zip(part, self._part([texts[i] for i in part])):
+                        out[i] = ids
+                    part, size = [], 0
+        for i, ids in zip(part, self._part([texts[i] for i in part]) if part else ()):
+            out[i] = ids
         return out
 
-    def _heads(self, firsts: list[str]) -> list[bytes]:
-        pieces = [self.split(x) for x in firsts]
-        self._learn([w for ws in pieces for w in ws])
-        return [b"".join([self.words[w] for w in ws]) for ws in pieces]
-
-    def _lookup(self, flat: list[str]) -> list[bytes]:
-        """The ids of " " + chunk for each chunk."""
-        chunks = self.chunks
-        got = list(map(chunks.get, flat))
-        if None not in got:
-            return got
-        holes = [i for i, x in enumerate(got) if x is None]
-        distinct = list(dict.fromkeys([flat[i] for i in holes]))
-        chunks.make_room(len(distinct))
-        gone = chunks.revive(distinct)
-        pieces = [self.split(" " + c) for c in gone]
-        self._learn([w for ws in pieces for w in ws])
-        words = self.words
-        for c, ws in zip(gone, pieces):
-            chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        for i in holes:
-            got[i] = chunks[flat[i]]
-        return got
-
-    def _chunked(self, text: str) -> bytes:
-        if self.runs(text):
-            return self._plain(text)
-        first, *rest = text.split(" ")
-        return self._heads([first])[0] + b"".join(self._lookup(rest))
-
-    def _plain(self, text: str) -> bytes:
-        words, known = self.split(text), self.words
-        self._learn(words)
-        return b"".join([known[w] for w in words])
-
-    def _learn(self, words: list[str]) -> None:
-        """After this, every one of the words is in the cache."""
-        known = self.words
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        if not missing:
-            return
-        if len(known) + len(missing) > known.room:
-            known.make_room(len(missing))
-            missing = list(dict.fromkeys(words))
-        alone, todo = [], []
-        for w in known.revive(missing):
-            (todo if self.joins(w) else alone).append(w)
-        if alone:
-            for w, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        rest = iter(todo)
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _slices(self, text: str) -> list[str]:
+        cuts = [0]
+        while cuts[-1] + SLICE_CHARS // 2 < len(text):
+            cut = self.border.search(text, cuts[-1] + SLICE_CHARS // 2, min(len(text), cuts[-1] + SLICE_CHARS))
+            if not cut:
+                return [text]  # one word without end: as it is
+            cuts.append(cut.start())
+        return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+
+    def _part(self, texts: list[str]) -> list[np.ndarray]:
+        if len(texts) == 1 and len(texts[0]) > SLICE_CHARS:
+            return [self._library(texts[0])]
+        joined = "\n".join(texts) + "\n"
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        points = np.minimum(points, KNOWN_POINTS)
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        kind = self.kinds[points]
+        if (kind == UNKNOWN).any():
+            begins = np.concatenate([[0], ends[:-1] + 1])
+            odd = [bool((kind[a:b] == UNKNOWN).any()) for a, b in zip(begins, ends)]
+            rest = iter(self._part([t for t, o in zip(texts, odd) if not o]) if not all(odd) else ())
+            return [self._library(t) if o else next(rest) for t, o in zip(texts, odd)]
+        kind[ends] = BORDER
+        starts = self._starts(joined, points, kind, ends)
+        stops = np.append(starts[1:], len(points))
+        real = kind[starts] != BORDER
+        first = np.searchsorted(starts[real], np.concatenate([[0], ends + 1]))  # each text's first pre-token
+        starts, stops = starts[real], stops[real]
+        total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(self.value[points] * self.powers[: len(points)], out=total[1:])
+        hashes = (total[stops] - total[starts]) * self.inverse[starts]
+        hashes ^= (stops - starts).astype(np.uint64) * MIX
+        hashes[hashes == 0] = 1
+        at = self._find(joined, hashes, starts, stops)
+        many = self.length[at]
+        upto = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
+        flat = self.ids[np.repeat(self.begin[at] - upto[:-1], many) + np.arange(upto[-1])]
+        cuts = upto[first].tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _starts(self, joined: str, points: np.ndarray, kind: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where pre-tokens start; a border between texts counts as one."""
+        new = np.ones(len(kind), bool)
+        new[1:] = kind[1:] != kind[:-1]
+        blank = (points == 32) & (kind == SPACE)
+        space = kind == SPACE
+        # The last white space before something else stands apart from its run; a blank joins what follows.
+        last = np.zeros(len(kind), bool)
+        last[:-1] = space[:-1] & ~space[1:] & (kind[1:] != BORDER)
+        new |= last
+        joins = np.flatnonzero(last & blank) + 1
+        new[joins] = False
+        for i in np.flatnonzero((points == 39) & new).tolist():  # ' at the start of a pre-token
+            for c in CONTRACTIONS:
+                if joined.startswith(c, i) and (kind[i + 1 : i + len(c)] == LETTER).all():
+                    new[i + 1 : i + len(c)] = False
+                    if kind[i + len(c)] != BORDER:
+                        new[i + len(c)] = True
+                    break
+        return np.flatnonzero(new)
+
+    def _find(self, joined: str, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The cache entry of each pre-token; what is missing is learnt first."""
+        at, open_ = self._probe(hashes)
+        if len(open_):
+            new, where = np.unique(hashes[open_], return_index=True)
+            if self.n + len(new) > self.room:
+                self._forget()
+                new, where = np.unique(hashes, return_index=True)
+                open_ = np.arange(len(hashes))
+                if len(new) > self.room:
+                    raise ValueError("a part has more distinct words than the cache")
+            where = open_[where]
+            self._learn(new, [joined[a:b] for a, b in zip(starts[where].tolist(), stops[where].tolist())])
+            at, open_ = self._probe(hashes)
+        return at
+
+    def _probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = (hashes * MIX >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        seen = self.keys[slot]
+        at = self.entry[slot]
+        todo = np.flatnonzero(seen != hashes)
+        missing = []
+        while len(todo):
+            empty = seen[todo] == 0
+            missing.append(todo[empty])
+            todo = todo[~empty]
+            slot[todo] = (slot[todo] + 1) & ((1 << SLOT_BITS) - 1)
+            seen[todo] = self.keys[slot[todo]]
+            at[todo] = self.entry[slot[todo]]
+            todo = todo[seen[todo] != hashes[todo]]
+        return at, np.concatenate(missing) if missing else np.zeros(0, np.int64)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        together = [bool(self.joins(w)) for w in words]
+        ids: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+        alone = [k for k, t in enumerate(together) if not t]
+        for k, e in zip(alone, self.tok.encode_batch_fast([words[k] for k in alone], add_special_tokens=False)):
+            ids[k] = np.array(e.ids, np.uint32)
+        rest = iter([k for k, t in enumerate(together) if t])
         while some := list(islice(rest, 512)):  # words with a leading space stay apart when joined
-            e = self.tok.encode("".join(some), add_special_tokens=False)
-            ids, at = np.array(e.ids, "<u4"), np.array(e.word_ids)
-            ends = np.searchsorted(at, np.arange(len(some)), side="right").tolist()
-            raw, a = ids.tobytes(), 0
-            for w, b in zip(some, ends):
-                known[w] = raw[4 * a : 4 * b]
-                a = b
+            e = self.tok.encode("".join([words[k] for k in some]), add_special_tokens=False)
+            every = np.array(e.ids, np.uint32)
+            cut = np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1)).tolist()
+            for k, a, b in zip(some, cut, cut[1:]):
+                ids[k] = every[a:b]
+        many = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate(ids)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        own = np.arange(self.n, self.n + len(words))
+        self.begin[own], self.length[own] = self.used + np.cumsum(many) - many, many
+        self.used += len(flat)
+        self.n += len(words)
+        slot = (hashes * MIX >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        todo = np.arange(len(hashes))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] == 0]
+            self.keys[slot[free]] = hashes[free]
+            self.entry[slot[free]] = own[free]
+            todo = todo[self.keys[slot[todo]] != hashes[todo]]  # another word took the slot
+            slot[todo] = (slot[todo] + 1) & ((1 << SLOT_BITS) - 1)
