@@ -7,6 +7,7 @@ from .decontamination import op3_decontamination
 from .exact_dedup import op5_exact_dedup
 from .language import op2_language_id
 from .lines import op6_line_dedup
+from .lm import op9_lm_scoring
 from .packing import op4_best_fit_packing
 from .simhash import op8_simhash
 from .token_files import op1_token_files
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_simhash": op8_simhash,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_url_filters": op10_url_filters,
 }
 
