@@ -1,0 +1,30 @@
+"""Groups of linked rows, by passing the smallest name along links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewire.runtime import materialise
+
+MOST_ROUNDS = 100
+
+
+def label_components(links: DataFrame) -> DataFrame:
+    """(node, root) for each node of links (a, b); root is the smallest name that links reach.
+
+    Every round each node takes the smallest root of its neighbours, and then its root's root. The
+    tables of a round are written to shared storage.
+    """
+    links = links.filter("a is not null and b is not null")
+    edges = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "graph-edges")
+    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "graph-labels")
+    for _ in range(MOST_ROUNDS):
+        offered = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("root").alias("offer"))
+        nearer = labels.join(offered, labels.node == offered.a, "left").select("node", F.least("root", F.coalesce("offer", "root")).alias("root"), F.col("root").alias("was"))
+        jump = nearer.select(F.col("node").alias("at"), F.col("root").alias("further"))
+        after = materialise(nearer.join(jump, nearer.root == jump.at, "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root"), "was"), "graph-labels")
+        labels = after.select("node", "root")
+        if not after.filter("root <> was").take(1):
+            return labels
+    raise RuntimeError(f"labels did not settle in {MOST_ROUNDS} rounds")
