@@ -149,7 +149,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     finally:
         per_lane.unpersist()
     within = Window.partitionBy("length", "tw_lane").orderBy(*pieces.columns)
-    ranked = dealt.withColumn("tw_rank", F.row_number().over(within) - 1).join(base, ["length", "tw_lane"]).withColumn("tw_rank", F.col("tw_rank") + F.col("tw_base"))
+    ranked = dealt.withColumn("tw_rank", F.row_number().over(within) - 1).join(base.hint("merge"), ["length", "tw_lane"]).withColumn("tw_rank", F.col("tw_rank") + F.col("tw_base"))
     ranked = ranked.select(*pieces.columns, F.col("tw_rank").cast("long").alias("tw_rank"))
     order = np.lexsort((rows[:, 1], rows[:, 0])) if len(rows) else np.zeros(0, np.int64)
     rows = rows[order]
