@@ -38,7 +38,8 @@ def geo_similarity(km: Column) -> Column:
 
 
 def clamp01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def name_match(c: Column, name: str) -> Column:

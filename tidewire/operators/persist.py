@@ -111,4 +111,4 @@ def classifications(posts: DataFrame, model: str | None, prompt_version: str) ->
 def archive(events: DataFrame, now: Column) -> DataFrame:
     """Events that are over become ARCHIVED; one without an end is over once it began."""
     over = F.col("status").isin("ACTIVE", "UPDATED") & F.coalesce(F.coalesce("end_at", "start_at") < now, F.lit(False))
-    return events.withColumn("status", F.when(over, "ARCHIVED").otherwise(F.col("status"))).withColumn("archived_now", over)
+    return events.withColumn("archived_now", over).withColumn("status", F.when(F.col("archived_now"), "ARCHIVED").otherwise(F.col("status")))

@@ -53,7 +53,9 @@ def timed_out(runs: DataFrame, now: Column, minutes: int) -> DataFrame:
 def reap(runs: DataFrame, now: Column, minutes: int) -> DataFrame:
     """Runs that hang become FAILED."""
     late = (F.col("status") == "RUNNING") & (F.col("started_at") <= now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)))
-    return runs.withColumn("status", F.when(late, "FAILED").otherwise(F.col("status"))).withColumn("error_message", F.when(late, F.lit("timed out"))).withColumn("finished_at", F.when(late, now))
+    out = runs.withColumn("tw_late", late)
+    late = F.col("tw_late")
+    return out.withColumn("status", F.when(late, "FAILED").otherwise(F.col("status"))).withColumn("error_message", F.when(late, F.lit("timed out"))).withColumn("finished_at", F.when(late, now)).drop("tw_late")
 
 
 def dashboard(runs: DataFrame) -> DataFrame:
@@ -66,11 +68,10 @@ def shown(runs: DataFrame, mode: str = "recent") -> list[Column]:
     """The order of runs on screen: recent, failed (failures first) or running (running ones first, failures last)."""
     s = F.col("status")
     ranks = {
-        "recent": F.lit(0),
         "failed": F.when(s == "FAILED", 0).when(s == "PARTIAL", 1).when(s == "RUNNING", 2).otherwise(3),
         "running": F.when(s == "RUNNING", 0).when(s == "PARTIAL", 1).when(s == "FAILED", 3).otherwise(2),
     }
-    return [ranks[mode], F.desc("started_at"), F.col("execution_id")]
+    return [*([] if mode == "recent" else [ranks[mode]]), F.desc("started_at"), F.col("execution_id")]
 
 
 def detail(runs: DataFrame, by_source: DataFrame) -> DataFrame:
