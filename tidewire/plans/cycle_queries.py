@@ -12,7 +12,12 @@ from .place_queries import _km
 from .registry import query
 from .views import NOW, view
 
-_NOW = F.expr(NOW)
+
+
+def _now():
+    return F.expr(NOW)
+
+
 _LIST = lambda *xs: f"list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL)"
 _BLANK = "(title IS NULL OR trim(title) = '')"
 _BAD_URL = "(source_url LIKE 'http://localhost%' OR source_url LIKE 'http://10.%' OR source_url LIKE 'ftp:%')"
@@ -43,7 +48,7 @@ def _candidates(spark, sf_dir):
 
 
 def _plain(spark, sf_dir):
-    return decide.decide(_candidates(spark, sf_dir), None, _NOW)
+    return decide.decide(_candidates(spark, sf_dir), None, _now())
 
 
 @query("decisions_plain", f"SELECT candidate_id, (w).d AS decision, array_to_string((w).r, '; ') AS reasons, round(confidence, 6) AS score FROM (SELECT *, {_WATERFALL} AS w FROM v_candidate)")
@@ -60,7 +65,7 @@ def decisions_with_access(spark, sf_dir):
     """With a table of urls that do not answer."""
     c = _candidates(spark, sf_dir)
     seen = c.filter("source_url is not null").select("source_url", (F.col("candidate_id").cast("long") % 5 != 0).alias("ok")).groupBy("source_url").agg(F.bool_or("ok").alias("ok"))
-    out = decide.decide(c, None, _NOW, seen)
+    out = decide.decide(c, None, _now(), seen)
     silent = F.array_contains("reasons", "source_url_not_accessible") & (F.size("reasons") == 1)
     return out.select(F.when(silent, "SILENT").otherwise(F.col("decision")).alias("decision")).groupBy("decision").agg(F.count("*").alias("n"))
 
@@ -107,9 +112,9 @@ def name_similarity(spark, sf_dir):
 
 def _decided(spark, sf_dir):
     c = _candidates(spark, sf_dir)
-    future = c.filter(F.col("start_at") > _NOW)  # past ones are rejected without a look at duplicates
+    future = c.filter(F.col("start_at") > _now())  # past ones are rejected without a look at duplicates
     events = view(spark, sf_dir, "v_event").filter("status in ('ACTIVE', 'UPDATED')")
-    return decide.decide(c, duplicates.find(future, events), _NOW)
+    return decide.decide(c, duplicates.find(future, events), _now())
 
 
 @query("decisions_full")
@@ -120,9 +125,9 @@ def decisions_full(spark, sf_dir):
 
 def _replayed(spark, sf_dir):
     """One batch of candidates: those of a month, replayed in the order of their sources."""
-    c = _candidates(spark, sf_dir).filter((F.col("start_at") > _NOW) & (F.col("start_at") < _NOW + F.expr("INTERVAL '30' DAY")))
+    c = _candidates(spark, sf_dir).filter((F.col("start_at") > _now()) & (F.col("start_at") < _now() + F.expr("INTERVAL '30' DAY")))
     events = view(spark, sf_dir, "v_event").filter("status in ('ACTIVE', 'UPDATED')").withColumn("latitude", F.col("latitude").cast("double")).withColumn("longitude", F.col("longitude").cast("double"))
-    first = decide.decide(c, None, _NOW)
+    first = decide.decide(c, None, _now())
     return first, decide.replay(first, events, ["source_id"])
 
 
@@ -225,7 +230,7 @@ def decision_log(spark, sf_dir):
     f"SELECT event_id, CASE WHEN status IN ('ACTIVE', 'UPDATED') AND coalesce(end_at, start_at) < {NOW} THEN 'ARCHIVED' ELSE status END AS status, status IN ('ACTIVE', 'UPDATED') AND coalesce(end_at, start_at) < {NOW} AS archived_now FROM v_event",
 )
 def archived(spark, sf_dir):
-    return persist.archive(view(spark, sf_dir, "v_event"), _NOW).select("event_id", "status", "archived_now")
+    return persist.archive(view(spark, sf_dir, "v_event"), _now()).select("event_id", "status", "archived_now")
 
 
 @query(
