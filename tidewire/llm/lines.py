@@ -2,9 +2,14 @@
 
 Two lines within one edit have an equal variant after deleting at most one character of each. All
 variants of all lines would be as many as the corpus has characters, so the same idea is used
-coarsely first: each line is cut into blocks, every variant with one block deleted is emitted as a
-hashed key, and only lines that share such a key with another line get all their single-character
-variants. No pair within the bound is lost: one edit falls into one block.
+coarsely first. Each line is cut into four blocks and every variant with one block deleted is
+emitted as a hashed key; lines that share a key with another line are cut again, into about as many
+blocks as a block has characters; and only in blocks whose surroundings are shared are variants
+without single characters emitted and joined. No pair within the bound is lost: one edit falls into
+one block of each cut.
+
+Large expressions are written as array functions on purpose: unrolled, their generated code would be
+too long for the JVM to compile.
 """
 
 from __future__ import annotations
@@ -17,101 +22,102 @@ from tidewire.runtime import materialise, table
 #: Lines shorter than this only lose exact repeats.
 NEAR_CHARS = 20
 BLOCKS = 4
-#: Candidate lines up to this many are looked up in the texts by a broadcast (24 bytes each), more by a shuffle.
-BROADCAST_LINES = 300_000
-
-
-def line_key(line: Column) -> list[Column]:
-    """128 bits of hash name a line."""
-    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")]
+#: Lengths within a band of this many share the places of their cuts.
+BAND = 8
+#: Shared keys up to this many are sent to all tasks (8 bytes each); more meet the lines by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, tie (a hash of the text), pos and line of every line."""
+    """doc_id, tie (a hash of the text), pos, line and its 128 bits of hash (h1, h2) of every line."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("tie"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("tie"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
-def block_keys(line: Column) -> Column:
-    """Keys of the variants without one block, for lines to be the shorter or the longer one of a pair."""
-    n = F.length(line)
-    keys = []
-    for q in (n, n - 1):  # the shorter one's length
-        cuts = [F.floor(q * k / BLOCKS).cast("int") for k in range(BLOCKS + 1)]
-        for k in range(BLOCKS):
-            right = q - cuts[k + 1]
-            keys.append(F.xxhash64(q, F.lit(k), F.substring(line, F.lit(1), cuts[k]), F.when(right > 0, F.substring(line, n - right + 1, right)).otherwise("")))
-    return F.when(n >= NEAR_CHARS, F.array_distinct(F.array(*keys))).otherwise(F.array().cast("array<bigint>"))
+def place() -> Column:
+    """A line's place in the order of doc_id (nulls first), tie and pos, as one number, which Spark can take minima of by hashing."""
+    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)"))
+    text = doc * F.lit(65536).cast("decimal(5,0)") + F.pmod("tie", F.lit(65536)).cast("decimal(5,0)")
+    return (text * F.lit(1 << 31).cast("decimal(10,0)")).cast("decimal(37,0)") + F.col("pos").cast("decimal(10,0)")
 
 
-def middle_of(line: Column, q: Column, k: Column) -> tuple[Column, Column]:
-    """Block k of about sqrt(q) blocks of a line seen as one of q characters, and a hash of what is around it."""
-    n, blocks = F.length(line), F.ceil(F.sqrt(q)).cast("int")
-    start, stop = F.floor(q * k / blocks).cast("int"), F.floor(q * (k + 1) / blocks).cast("int")
+def around(line: Column, q: Column, start: Column, stop: Column) -> Column:
+    """A hash of a line without the block from start to stop of q characters; what is beyond q belongs to the block."""
     right = q - stop
-    around = F.xxhash64(F.substring(line, F.lit(1), start), F.when(right > 0, F.substring(line, n - right + 1, right)).otherwise(""))
-    return F.substring(line, start + 1, n - right - start), around
-
+    return F.xxhash64(q, start, F.substring(line, F.lit(1), start), F.substring(line, F.length(line) - right + 1, right))
 
-def char_variants(line: Column, q: Column) -> Column:
-    """(k, i, v): hashes of the line without the i-th character of its block k. Only a block is copied for each."""
-
-    def of_block(k: Column) -> Column:
-        middle, around = middle_of(line, q, k)
 
-        def of_char(b: Column) -> Column:
-            m = b["middle"]
-            drop = lambda i: F.struct(k.alias("k"), i.alias("i"), F.xxhash64(b["around"], F.concat(F.substring(m, F.lit(1), i - 1), F.substring(m, i + 1, F.length(m)))).alias("v"))
-            return F.transform(F.filter(F.sequence(F.lit(0), F.length(m)), lambda i: i > 0), drop)
+def block_keys() -> Column:
+    """Keys of `line` without one of four blocks. The cuts are those of its band's least length; at the band's start also of the band before."""
+    n = F.length("line")
+    low = n - n % BAND
+    bands = F.when(n % BAND == 0, F.array(low, low - BAND)).otherwise(F.array(low))
 
-        return F.flatten(F.transform(F.array(F.struct(middle.alias("middle"), around.alias("around"))), of_char))
+    def of_band(q: Column) -> Column:
+        cut = lambda k: F.floor(q * k / BLOCKS).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda k: around(F.col("line"), q, cut(k), cut(k + 1)))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(F.sqrt(q)).cast("int") - 1), of_block))
+    return F.flatten(F.transform(bands, of_band))
 
 
-def whole_blocks(line: Column) -> Column:
-    """(k, v): what a longer line's variant in block k must be to be this line."""
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """One row per distinct line but the empty one: h1, h2, the order of its first row, and that row's doc_id, tie and pos."""
+    seen = lines_of(docs).filter("line <> ''").select("h1", "h2", "doc_id", "tie", "pos", place().alias("at"))
+    return seen.groupBy("h1", "h2").agg(F.min("at").alias("first"), *[F.min_by(c, "at").alias(c) for c in ("doc_id", "tie", "pos")])
+
+
+def near_lines(docs: DataFrame) -> DataFrame:
+    """Distinct lines that may have a neighbour: h1, h2, line."""
+    lines = lines_of(docs).filter(F.length("line") >= NEAR_CHARS)
+    keyed = lines.select("h1", "h2", "line", F.explode(block_keys()).alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key")
+    shared = materialise(shared, "op6-keys")
+    if shared.count() <= BROADCAST_KEYS:
+        rows = keyed.join(F.broadcast(shared), "key", "left_semi")
+    else:
+        names = keyed.select("h1", "key").join(shared, "key", "left_semi").select("h1").distinct()
+        rows = lines.join(names, "h1", "left_semi")
+    return rows.groupBy("h1", "h2").agg(F.first("line").alias("line"))
+
+
+def blocks_of(lines: DataFrame, q: Column, kind: str) -> DataFrame:
+    """Each line seen as one of q characters, cut into about sqrt(q) blocks: q, k, around and the block's text."""
+    blocks = F.ceil(F.sqrt(q)).cast("int")
+    cut = lambda k: F.floor(q * k / blocks).cast("int")
 
     def of_block(k: Column) -> Column:
-        middle, around = middle_of(line, F.length(line), k)
-        return F.struct(k.alias("k"), F.xxhash64(around, middle).alias("v"))
-
-    return F.transform(F.sequence(F.lit(0), F.ceil(F.sqrt(F.length(line))).cast("int") - 1), of_block)
+        start, stop = cut(k), cut(k + 1)
+        return F.struct(k.alias("k"), around(F.col("line"), q, start, stop).alias("around"), F.substring(F.col("line"), start + 1, F.length("line") - (q - stop) - start).alias("block"))
 
-
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """One row per distinct line but the empty one: h1, h2, first (doc_id, tie, pos), keys."""
-    lines = lines_of(docs).filter("line <> ''")
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie", "pos")  # null ids come first
-    seen = lines.select(*line_key(F.col("line")), place.alias("first"), block_keys(F.col("line")).alias("keys"))
-    return seen.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.first("keys").alias("keys"))
+    cuts = F.transform(F.sequence(F.lit(0), blocks - 1), of_block)
+    return lines.select("h1", "h2", "first", q.alias("q"), F.lit(kind).alias("kind"), F.explode(cuts).alias("x")).select("h1", "h2", "first", "q", "kind", "x.*")
 
 
 def later_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2) of distinct lines within one edit of a line that comes first earlier."""
-    keyed = distinct.select("h1", "h2", F.explode("keys").alias("key"))
-    several = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    near = materialise(keyed.join(several, "key", "left_semi").select("h1", "h2").distinct(), "op6-near")
-    few = near.count() <= BROADCAST_LINES
-    wanted = distinct.join(near, ["h1", "h2"], "left_semi").select("h1", "h2", "first")
-    texts = lines_of(docs).filter(F.length("line") >= NEAR_CHARS).select(*line_key(F.col("line")), "doc_id", "tie", "pos", "line")
-    texts = texts.join(F.broadcast(near) if few else near, ["h1", "h2"], "left_semi")
-    same = (texts.h1 == wanted.h1) & (texts.h2 == wanted.h2) & texts.doc_id.eqNullSafe(wanted["first.doc_id"]) & (texts.tie == wanted["first.tie"]) & (texts.pos == wanted["first.pos"])
-    # A candidate's text is taken from the row that has it first; fully repeated rows give it once.
-    found = texts.join(wanted, same).select(wanted.h1, wanted.h2, "first", "line").groupBy("h1", "h2").agg(F.first("first").alias("first"), F.first("line").alias("line"))
-    found = materialise(found, "op6-candidates")
-    me = F.struct("first", "h1", "h2")
-    line, n = F.col("line"), F.length("line")
+    near = materialise(near_lines(docs), "op6-near")
+    lines = materialise(near.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]), "op6-candidates")
+    n = F.length("line")
+    # A line of q characters is met by others of q, and by longer ones of q + 1.
+    cuts = materialise(blocks_of(lines, n, "own").unionByName(blocks_of(lines, n - 1, "longer")), "op6-blocks")
+    shared = cuts.groupBy("q", "k", "around").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").drop("a", "b")
+    cuts = cuts.join(shared, ["q", "k", "around"], "left_semi")
+    block = F.col("block")
+    less = F.transform(F.filter(F.sequence(F.lit(0), F.length(block)), lambda i: i > 0), lambda i: F.struct(i.alias("i"), F.xxhash64("around", F.concat(F.substring(block, F.lit(1), i - 1), F.substring(block, i + 1, F.length(block)))).alias("v")))
+    variants = cuts.select("h1", "h2", "first", "q", "k", "kind", F.explode(less).alias("x")).select("h1", "h2", "first", "q", "k", "kind", "x.i", "x.v")
     # One character replaced: the same character deleted leaves equal variants. All of a group are within the bound of its earliest.
-    variants = found.select(me.alias("me"), n.alias("q"), F.explode(char_variants(line, n)).alias("x")).select("me", "q", "x.k", "x.i", "x.v")
-    group = variants.groupBy("q", "k", "i", "v").agg(F.count("*").alias("many"), F.min("me").alias("lead")).filter("many > 1").drop("many")
-    replaced = variants.join(group, ["q", "k", "i", "v"]).filter("me <> lead").select(F.col("me").alias("late"), F.col("lead").alias("early"))
+    own = variants.filter("kind = 'own'")
+    group = own.groupBy("q", "k", "i", "v").agg(F.count("*").alias("many"), F.min("first").alias("lead"), F.min_by("h1", "first").alias("e1"), F.min_by("h2", "first").alias("e2")).filter("many > 1")
+    replaced = own.join(group, ["q", "k", "i", "v"]).filter("first > lead").select("h1", "h2", "e1", "e2")
     # One character added: a longer line's variant is a whole other line.
-    longer = found.select(me.alias("me"), (n - 1).alias("q"), F.explode(char_variants(line, n - 1)).alias("x")).select("me", "q", "x.k", "x.v")
-    whole = found.select(me.alias("whole"), n.alias("q"), F.explode(whole_blocks(line)).alias("x")).select("whole", "q", "x.k", "x.v")
-    added = longer.join(whole, ["q", "k", "v"]).select(F.greatest("me", "whole").alias("late"), F.least("me", "whole").alias("early"))
-    pairs = replaced.union(added).select(F.col("late.h1").alias("h1"), F.col("late.h2").alias("h2"), F.col("early.h1").alias("e1"), F.col("early.h2").alias("e2")).distinct()
-    text = found.select("h1", "h2", "line")
+    whole = cuts.filter("kind = 'own'").select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("first").alias("w"), "q", "k", F.xxhash64("around", "block").alias("v"))
+    met = variants.filter("kind = 'longer'").drop("i").join(whole, ["q", "k", "v"])
+    later = F.col("first") > F.col("w")
+    pick = lambda a, b: F.when(later, F.col(a)).otherwise(F.col(b))
+    added = met.filter("first <> w").select(pick("h1", "w1").alias("h1"), pick("h2", "w2").alias("h2"), pick("w1", "h1").alias("e1"), pick("w2", "h2").alias("e2"))
+    pairs = replaced.unionByName(added).distinct()
+    text = lines.select("h1", "h2", "line")
     early = text.toDF("e1", "e2", "early")
     checked = pairs.join(text, ["h1", "h2"]).join(early, ["e1", "e2"]).filter(F.levenshtein("line", "early", 1) >= 0)
     return checked.select("h1", "h2").distinct()
@@ -128,11 +134,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     named n_lines or n_kept are replaced. An empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_kept", "tw_tie", "tw_keep")
-    distinct = materialise(distinct_lines(docs.select("doc_id", "text")), "op6-lines")
-    stay = distinct.join(later_lines(docs.select("doc_id", "text"), distinct), ["h1", "h2"], "left_anti")
-    kept = stay.groupBy(F.col("first.doc_id").alias("tw_id"), F.col("first.tie").alias("tw_tie")).agg(F.collect_list("first.pos").alias("tw_keep"))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("text", text)
+    parts = docs.select("doc_id", "text")
+    distinct = materialise(distinct_lines(parts), "op6-lines")
+    stay = distinct.join(later_lines(parts, distinct), ["h1", "h2"], "left_anti")
+    kept = stay.groupBy(F.col("doc_id").alias("tw_id"), F.col("tie").alias("tw_tie")).agg(F.collect_list("pos").alias("tw_keep"))
+    rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
     joined = rows.join(kept, rows.doc_id.eqNullSafe(kept.tw_id) & (F.xxhash64(rows.text) == kept.tw_tie), "left")
     lines = F.split("text", "\n")
     blank = F.filter(F.transform(lines, lambda line, i: F.when(line == "", i)), lambda i: i.isNotNull())
