@@ -42,21 +42,19 @@ def place() -> Column:
     return (text * F.lit(1 << 31).cast("decimal(10,0)")).cast("decimal(37,0)") + F.col("pos").cast("decimal(10,0)")
 
 
-def around(line: Column, q: Column, start: Column, stop: Column) -> Column:
-    """A hash of a line without the block from start to stop of q characters; what is beyond q belongs to the block."""
-    right = q - stop
-    return F.xxhash64(q, start, F.substring(line, F.lit(1), start), F.substring(line, F.length(line) - right + 1, right))
+def around(line: Column, n: Column, q: Column, start: Column, stop: Column) -> Column:
+    """A hash of a line of n characters without the block from start to stop of q; what is beyond q belongs to the block."""
+    return F.xxhash64(q, start, F.substring(line, F.lit(1), start), F.substring(line, n - q + stop + 1, q - stop))
 
 
-def block_keys() -> Column:
-    """Keys of `line` without one of four blocks. The cuts are those of its band's least length; at the band's start also of the band before."""
-    n = F.length("line")
+def block_keys(line: Column, n: Column) -> Column:
+    """Keys of a line without one of four blocks. The cuts are those of its band's least length; at the band's start also of the band before."""
     low = n - n % BAND
     bands = F.when(n % BAND == 0, F.array(low, low - BAND)).otherwise(F.array(low))
 
     def of_band(q: Column) -> Column:
-        cut = lambda k: F.floor(q * k / BLOCKS).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda k: around(F.col("line"), q, cut(k), cut(k + 1)))
+        cut = lambda k: F.shiftright(q * k, 2)  # noqa: E731  quarters
+        return F.array(*[around(line, n, q, cut(k), cut(k + 1)) for k in range(BLOCKS)])
 
     return F.flatten(F.transform(bands, of_band))
 
@@ -69,8 +67,8 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 def near_lines(docs: DataFrame) -> DataFrame:
     """Distinct lines that may have a neighbour: h1, h2, line."""
-    lines = lines_of(docs).filter(F.length("line") >= NEAR_CHARS)
-    keyed = lines.select("h1", "h2", "line", F.explode(block_keys()).alias("key"))
+    lines = lines_of(docs).withColumn("n", F.length("line")).filter(F.col("n") >= NEAR_CHARS)
+    keyed = lines.select("h1", "h2", "line", F.explode(block_keys(F.col("line"), F.col("n"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key")
     shared = materialise(shared, "op6-keys")
     if shared.count() <= BROADCAST_KEYS:
@@ -81,26 +79,26 @@ def near_lines(docs: DataFrame) -> DataFrame:
     return rows.groupBy("h1", "h2").agg(F.first("line").alias("line"))
 
 
-def blocks_of(lines: DataFrame, q: Column, kind: str) -> DataFrame:
-    """Each line seen as one of q characters, cut into about sqrt(q) blocks: q, k, around and the block's text."""
-    blocks = F.ceil(F.sqrt(q)).cast("int")
-    cut = lambda k: F.floor(q * k / blocks).cast("int")
+def blocks_of(lines: DataFrame, shorter: int, kind: str) -> DataFrame:
+    """Each line seen as one of q = n - shorter characters, cut into about sqrt(q) blocks: q, k, around and the block's text."""
+    rows = lines.select("h1", "h2", "first", "line", F.length("line").alias("n"))
+    rows = rows.withColumn("q", F.col("n") - shorter).withColumn("b", F.ceil(F.sqrt(F.col("n") - shorter)).cast("int"))
+    line, n, q, b = (F.col(c) for c in ("line", "n", "q", "b"))
 
     def of_block(k: Column) -> Column:
-        start, stop = cut(k), cut(k + 1)
-        return F.struct(k.alias("k"), around(F.col("line"), q, start, stop).alias("around"), F.substring(F.col("line"), start + 1, F.length("line") - (q - stop) - start).alias("block"))
+        start, stop = (q * k / b).cast("int"), (q * (k + 1) / b).cast("int")
+        return F.struct(k.alias("k"), around(line, n, q, start, stop).alias("around"), F.substring(line, start + 1, n - q + stop - start).alias("block"))
 
-    cuts = F.transform(F.sequence(F.lit(0), blocks - 1), of_block)
-    return lines.select("h1", "h2", "first", q.alias("q"), F.lit(kind).alias("kind"), F.explode(cuts).alias("x")).select("h1", "h2", "first", "q", "kind", "x.*")
+    cuts = F.transform(F.sequence(F.lit(0), b - 1), of_block)
+    return rows.select("h1", "h2", "first", "q", F.lit(kind).alias("kind"), F.explode(cuts).alias("x")).select("h1", "h2", "first", "q", "kind", "x.*")
 
 
 def later_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2) of distinct lines within one edit of a line that comes first earlier."""
     near = materialise(near_lines(docs), "op6-near")
     lines = materialise(near.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]), "op6-candidates")
-    n = F.length("line")
     # A line of q characters is met by others of q, and by longer ones of q + 1.
-    cuts = materialise(blocks_of(lines, n, "own").unionByName(blocks_of(lines, n - 1, "longer")), "op6-blocks")
+    cuts = materialise(blocks_of(lines, 0, "own").unionByName(blocks_of(lines, 1, "longer")), "op6-blocks")
     shared = cuts.groupBy("q", "k", "around").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").drop("a", "b")
     cuts = cuts.join(shared, ["q", "k", "around"], "left_semi")
     block = F.col("block")
