@@ -204,11 +204,10 @@ class Encoder:
         if len(open_):
             new, where = np.unique(hashes[open_], return_index=True)
             if self.n + len(new) > self.room:
-                self._forget()
                 new, where = np.unique(hashes, return_index=True)
                 open_ = np.arange(len(hashes))
-                if len(new) > self.room:
-                    raise ValueError("a part has more distinct words than the cache")
+                self.room = max(self.room, len(new))
+                self._forget()
             where = open_[where]
             self._learn(new, [joined[a:b] for a, b in zip(starts[where].tolist(), stops[where].tolist())])
             at, open_ = self._probe(hashes)
