@@ -9,7 +9,7 @@ from tidewire.llm import decontamination, exact_dedup, language, packing, simhas
 from tidewire.runtime import materialise, table
 
 #: Texts whose n-grams are known to the predicted language's filter for less than this share are not kept.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.2
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
