@@ -338,3 +338,15 @@ def source_checks(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("source_id"), F.when(k.isin(3, 4), "html").otherwise("rss").alias("adapter_type"), F.lit("https://e.com/").alias("base_url"), F.when(k == 0, "timeout").otherwise("ok").alias("fetch_status"), F.when(k == 0, "timeout").alias("fetch_error"), F.lit("https://e.com/").alias("final_url"), F.lit("text/plain").alias("content_type"), F.when(k == 1, F.expr(_XML)).when(k == 2, "<rss><channel/></rss>").when(k == 3, page).when(k == 4, "plain").otherwise("<rss").alias("body"))
     found = feeds.validate(rows, 3)
     return found.select("source_id", "ok", "status", F.regexp_replace("error", "^invalid_xml.*", "invalid_xml").alias("error"), "entries", F.array_join("feeds", ",").alias("feeds"))
+
+
+@query(
+    "chain_demo",
+    """SELECT o_orderkey AS source_id, 'https://e.com/e/' || CAST(o_orderkey AS VARCHAR) || '?x=1' AS url, 'Obra ' || CAST(o_orderkey AS VARCHAR) AS venue_name, CAST(epoch(TIMESTAMP '2024-05-06 00:00:00') AS BIGINT) AS start_at, true AS is_event FROM orders""",
+)
+def chain_demo(spark, sf_dir):
+    """From a page to a candidate without any model: parse cards, then what their words say."""
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_id"), F.lit("https://e.com/list/a.html").alias("page_url"), F.expr(_HTML).alias("html"))
+    cards = feeds.parse_pages(docs, F.lit("2024-01-03").cast("timestamp"))
+    blank = cards.select("*", F.lit(False).alias("is_event"), text.first_line(F.col("raw_text")).alias("title"), *[F.lit(None).cast("string").alias(c) for c in ("venue_name", "address")], *[F.lit(None).cast("timestamp").alias(c) for c in ("start_at", "end_at")])
+    return extract.enrich(blank).select("source_id", "url", "venue_name", F.unix_timestamp("start_at").alias("start_at"), "is_event")
