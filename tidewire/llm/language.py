@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.runtime import prepare, table
+from tidewire.runtime import materialise, prepare, table
 
 UNDETERMINED = "und"
 GRAM = 4
@@ -31,6 +33,7 @@ KEEP_GRAMS = 20_000
 #: An n-gram seen less often in a language's sample is noise.
 LEAST_SEEN = 3
 CHUNK = 4 << 20
+LANGS_AT_ONCE = 32
 
 FOLD = np.full(256, 32, np.uint8)
 FOLD[0x80:] = np.arange(0x80, 0x100)
@@ -163,8 +166,13 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, keep: int = KEEP_GR
                 yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(32)).astype(np.int32)), pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     seen = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_SEEN)
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    rows = seen.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep).select("lang", "gram").toPandas()  # at most keep rows per language
+    seen = materialise(seen, "op2-grams")
+    kept = []
+    for at in range(0, len(langs), LANGS_AT_ONCE):
+        # Each language's commonest n-grams by a distributed top-k: at most `keep` rows reach the driver for each.
+        tops = [seen.filter(F.col("lang") == n).orderBy(F.desc("n"), "gram").limit(keep).select("lang", "gram") for n in range(at, min(at + LANGS_AT_ONCE, len(langs)))]
+        kept.append(reduce(DataFrame.union, tops).toPandas())
+    rows = pd.concat(kept)
     default = max(range(len(langs)), key=lambda i: (sizes[langs[i]], -i))
     return Filters.fit(langs, rows["lang"].to_numpy(), rows["gram"].to_numpy().astype(np.uint32), default)
 
