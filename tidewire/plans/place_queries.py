@@ -100,11 +100,11 @@ def _places(spark):
 
 @query(
     "catalog_exact",
-    f"SELECT place_id, CASE {_LOC} WHEN 'posadas misiones' THEN 'Posadas' WHEN 'posadas' THEN 'Posadas' WHEN 'anfiteatro manuel ramirez' THEN 'Anfiteatro' WHEN 'pasaje nandubay y avenida roque perez' THEN 'Lejos' END AS name, CASE {_LOC} WHEN 'posadas misiones' THEN 'accepted' WHEN 'anfiteatro manuel ramirez' THEN 'accepted' WHEN 'pasaje nandubay y avenida roque perez' THEN 'rejected' END AS decision FROM v_place WHERE place_id % 8 IN (1, 2, 5, 6)",
+    f"SELECT place_id, CASE {_LOC} WHEN 'posadas misiones' THEN 'Posadas' WHEN 'posadas' THEN 'Posadas' WHEN 'anfiteatro manuel ramirez' THEN 'Anfiteatro' WHEN 'pasaje nandubay y avenida roque perez' THEN 'Lejos' END AS name, CASE {_LOC} WHEN 'posadas misiones' THEN 'accepted' WHEN 'anfiteatro manuel ramirez' THEN 'accepted' WHEN 'pasaje nandubay y avenida roque perez' THEN 'rejected' END AS decision FROM v_place",
 )
 def catalog_exact(spark, sf_dir):
     """Texts that are a catalog name or alias once normalised, and what that decides."""
-    p = view(spark, sf_dir, "v_place").filter("place_id % 8 IN (1, 2, 5, 6)").withColumn("key", text.normalize_location(F.col("place")))
+    p = view(spark, sf_dir, "v_place").withColumn("key", text.normalize_location(F.col("place")))
     found = geoclassify.match_catalog(p.select(F.col("place").alias("text")), _places(spark)).filter("exact")
     return p.join(geoclassify.from_catalog(found), "key", "left").select("place_id", F.col("matched_catalog_entry").alias("name"), "decision")
 
@@ -142,12 +142,12 @@ def location_queries(spark, sf_dir):
 
 @query(
     "first_answers",
-    """WITH q AS (SELECT c_custkey % 200 AS key, c_custkey // 200 AS position, 'q' || CAST(c_custkey AS VARCHAR) AS query FROM customer WHERE c_custkey < 1000), a AS (SELECT DISTINCT query FROM v_geo WHERE ordinal % 4 = 1)
+    """WITH q AS (SELECT c_custkey % 200 AS key, c_custkey // 200 AS position, 'q' || CAST(c_custkey AS VARCHAR) AS query FROM customer), a AS (SELECT DISTINCT query FROM v_geo WHERE ordinal % 4 = 1)
        SELECT CAST(key AS VARCHAR) AS key, arg_min(q.query, position) AS query FROM q JOIN a ON q.query = a.query GROUP BY key""",
 )
 def first_answers(spark, sf_dir):
     """Of a candidate's queries the first that has an answer."""
-    c = table(spark, sf_dir, "customer").filter("c_custkey < 1000")
+    c = table(spark, sf_dir, "customer")
     q = c.select((F.col("c_custkey") % 200).cast("string").alias("key"), F.floor(F.col("c_custkey") / 200).alias("position"), F.concat(F.lit("q"), "c_custkey").alias("query"))
     answers = view(spark, sf_dir, "v_geo").filter("ordinal % 4 = 1")
     return geoclassify.first_answers(q, answers).select("key", "query").distinct()
