@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import squeeze_ends
+from .text import let, squeeze_ends
 
 #: Query keys that only track visitors.
 TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid")
@@ -81,38 +81,45 @@ def adapter_route(value: Column) -> Column:
 
 def _v4(host: Column) -> Column:
     """An IPv4 address as a number, else null."""
-    parts = F.split(host, r"\.")
     ok = host.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$")
-    number = sum((F.get(parts, F.lit(k)).try_cast("long") * F.lit(1 << (24 - 8 * k)) for k in range(1, 4)), F.get(parts, F.lit(0)).try_cast("long") * F.lit(1 << 24))
+    number = F.aggregate(F.split(host, r"\."), F.lit(0).cast("long"), lambda total, part: total * 256 + part.try_cast("long"))
     return F.when(ok, number)
 
 
 def closed_address(host: Column) -> Column:
     """Whether a host is a literal address that is private, local, reserved or multicast."""
-    v4 = _v4(host)
-    inside = F.lit(False)
-    for first, bits in CLOSED_NETWORKS:
-        low = sum(int(x) << (24 - 8 * k) for k, x in enumerate(first.split(".")))
-        inside = inside | v4.between(low, low + (1 << (32 - bits)) - 1)
+
+    def inside(v4: Column) -> Column:
+        found = F.lit(False)
+        for first, bits in CLOSED_NETWORKS:
+            low = sum(int(x) << (24 - 8 * k) for k, x in enumerate(first.split(".")))
+            found = found | v4.between(low, low + (1 << (32 - bits)) - 1)
+        return F.coalesce(found, F.lit(False))
+
     v6 = host.contains(":") & host.rlike(r"^(?:::1?$|::ffff:|f[cd]|fe[89ab]|ff|2001:db8:|100:)")
-    return F.coalesce(inside, F.lit(False)) | v6
+    return let(_v4(host), inside) | v6
 
 
-def permitted(url: Column, allowed_hosts: tuple[str, ...] = ()) -> Column:
+def permitted(url: Column, allowed_hosts: tuple[str, ...] = (), also_closed: tuple[str, ...] = ()) -> Column:
     """Whether a post's url may be trusted: http(s), on the list if there is one, no local or closed address."""
-    host = hostname(url)
-    listed = F.lit(True)
-    if allowed_hosts:
-        listed = F.lit(False)
-        for name in allowed_hosts:
-            listed = listed | (host == name) | host.endswith(f".{name}")
-    return F.coalesce(scheme(url).isin("http", "https") & (host != "") & listed & (host != "localhost") & ~closed_address(host), F.lit(False))
+
+    def of_host(host: Column) -> Column:
+        listed = F.lit(True)
+        if allowed_hosts:
+            listed = F.lit(False)
+            for name in allowed_hosts:
+                listed = listed | (host == name) | host.endswith(f".{name}")
+        shut = F.lit(False)
+        if also_closed:
+            shut = host.isin(*also_closed) | host.endswith(".localhost")
+        return (host != "") & listed & (host != "localhost") & ~shut & ~closed_address(host)
+
+    return F.coalesce(scheme(url).isin("http", "https") & let(hostname(url), of_host), F.lit(False))
 
 
 def fetchable(url: Column) -> Column:
     """The stricter rule for urls that are fetched: no metadata services and no *.localhost either."""
-    host = hostname(url)
-    return permitted(url) & ~host.isin(*METADATA_HOSTS) & ~host.endswith(".localhost")
+    return permitted(url, also_closed=METADATA_HOSTS)
 
 
 def discovered_name(url: Column) -> Column:

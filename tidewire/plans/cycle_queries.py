@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewire.config import DEFAULT
 from tidewire.functions import dates, similarity
 from tidewire.operators import decide, duplicates, learn, persist, runs
-from tidewire.runtime import table
+from tidewire.runtime import materialise, table
 
 from .place_queries import _km
 from .registry import query
@@ -111,10 +112,12 @@ def name_similarity(spark, sf_dir):
 
 
 def _decided(spark, sf_dir):
-    c = _candidates(spark, sf_dir)
-    future = c.filter(F.col("start_at") > _now())  # past ones are rejected without a look at duplicates
+    """Only candidates that no other rule rejects are looked up, and only repeats that matter are kept."""
+    c = materialise(_candidates(spark, sf_dir), "candidates")
+    open_ = decide.decide(c, None, _now()).filter("decision <> 'REJECT'").select("candidate_id")
     events = view(spark, sf_dir, "v_event").filter("status in ('ACTIVE', 'UPDATED')")
-    return decide.decide(c, duplicates.find(future, events), _now())
+    found = duplicates.find(c.join(open_, "candidate_id", "left_semi"), events, least=DEFAULT.duplicate_review)
+    return decide.decide(c, found, _now())
 
 
 @query("decisions_full")
