@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 #: Arrow batches handed to Python workers stay this small, whatever the rows' width.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Used only where the session names no shared folder (tests, a single machine).
 LOCAL_SCRATCH = "/tmp/checkpoints/tidewire"
 
