@@ -127,8 +127,8 @@ def decisions_full(spark, sf_dir):
 
 
 def _replayed(spark, sf_dir):
-    """One batch of candidates: those of a month, replayed in the order of their sources."""
-    c = _candidates(spark, sf_dir).filter((F.col("start_at") > _now()) & (F.col("start_at") < _now() + F.expr("INTERVAL '30' DAY")))
+    """One batch of all candidates, replayed in the order of their sources."""
+    c = _candidates(spark, sf_dir)
     events = view(spark, sf_dir, "v_event").filter("status in ('ACTIVE', 'UPDATED')").withColumn("latitude", F.col("latitude").cast("double")).withColumn("longitude", F.col("longitude").cast("double"))
     first = decide.decide(c, None, _now())
     return first, decide.replay(first, events, ["source_id"])
