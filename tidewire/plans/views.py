@@ -63,12 +63,12 @@ VIEWS = {
             CASE o_orderkey % 4 WHEN 0 THEN NULL ELSE CAST(-5.58961E1 + (c_custkey % 40 - 20) / 1E2 AS DECIMAL(9, 6)) END AS longitude,
             CAST(NULL AS STRING) AS price_text, CASE o_orderkey % 11 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE lower(c_mktsegment) END AS category,
             (o_orderkey % 100) / 1E2 AS quality_score, CASE o_orderstatus WHEN 'O' THEN 'ACTIVE' WHEN 'P' THEN 'UPDATED' ELSE 'ARCHIVED' END AS status
-        FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderkey % 7 = 0""",
+        FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
     # which sources told of which event
     "v_link": """
         SELECT CAST(l_orderkey AS STRING) AS event_id, CAST(l_suppkey AS STRING) AS source_id, 'https://s' || CAST(l_suppkey AS STRING) || '.example.com/' || CAST(l_linenumber AS STRING) AS source_url,
             l_linenumber = 2 AS is_primary, CAST(l_shipdate AS TIMESTAMP) AS contributed_at
-        FROM {lineitem} WHERE l_orderkey % 7 = 0""",
+        FROM {lineitem}""",
     # decisions of sources
     "v_decision": """
         SELECT CASE WHEN l_suppkey % 50 = 0 THEN NULL ELSE CAST(l_suppkey AS STRING) END AS source_id, 1 - l_discount AS confidence, l_orderkey, l_linenumber,
