@@ -2,10 +2,11 @@
 
 A shard file holds the documents of one range of doc_id in ascending order:
 
-    magic  "TWP1"          4 bytes
+    magic  "TWP2"          4 bytes
     bits, block, codes     3 x uint32   bits of an id, ids of a block, ids of the vocabulary
     docs, ids, blocks      3 x uint64
-    doc_id                 docs x int64       (NO_ID for null)
+    doc_id                 docs x int64       (0 for null)
+    null                   docs x uint8       (1 where doc_id is null)
     start                  docs x uint64      ids of the shard before the document
     offset                 (blocks + 1) x uint64  byte offsets of the blocks in the payload
     payload                each block packed on its own, lowest bit first, filled up to whole bytes
@@ -16,24 +17,28 @@ document or range of ids can be read without the rest (`Shard.ids`).
 
 from __future__ import annotations
 
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.runtime import prepare, scratch, table
+from tidewire.runtime import materialise, prepare, scratch, table
 
 from .tokens import encoder, vocab_size, vocabulary
 
-MAGIC = b"TWP1"
-NO_ID = -(1 << 63)
+MAGIC = b"TWP2"
+HEAD_BYTES = 40
 BLOCK_IDS = 4096
-#: A shard file is closed at this many ids, so writing and reading stay within bounded memory.
+#: A shard file is closed at this many ids, so writing stays within bounded memory.
 SHARD_IDS = 2_000_000
+#: Blocks that are read from a file at once.
+READ_BLOCKS = 64
 
 
 def width(codes: int) -> int:
@@ -72,42 +77,59 @@ def shard_bytes(doc_ids: list[int | None], parts: list[np.ndarray], codes: int,
     blocks = [pack(ids[a : a + block], bits) for a in range(0, len(ids), block)]
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
     head = MAGIC + np.array([bits, block, codes], "<u4").tobytes() + np.array([len(parts), len(ids), len(blocks)], "<u8").tobytes()
-    keys = np.array([NO_ID if d is None else d for d in doc_ids], "<i8")
-    return b"".join([head, keys.tobytes(), starts.tobytes(), offsets.tobytes(), *blocks])
+    keys = np.array([0 if d is None else d for d in doc_ids], "<i8")
+    null = bytes(d is None for d in doc_ids)
+    return b"".join([head, keys.tobytes(), null, starts.tobytes(), offsets.tobytes(), *blocks])
 
 
 class Shard:
-    """Reads a shard file's bytes."""
+    """Reads a shard file: its head and index at once, its blocks as they are asked for."""
 
-    def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+    def __init__(self, file: bytes | BinaryIO):
+        self.file = io.BytesIO(file) if isinstance(file, bytes) else file
+        head = self._bytes(0, HEAD_BYTES)
+        if head[:4] != MAGIC:
             raise ValueError("not a token shard")
-        self.bits, self.block, self.codes = map(int, np.frombuffer(data, "<u4", 3, 4))
-        docs, self.n, blocks = map(int, np.frombuffer(data, "<u8", 3, 16))
-        at = 40
-        self.doc_ids = np.frombuffer(data, "<i8", docs, at)
-        self.starts = np.frombuffer(data, "<u8", docs, at + 8 * docs).astype(np.int64)
-        self.offsets = np.frombuffer(data, "<u8", blocks + 1, at + 16 * docs).astype(np.int64)
-        self.payload = memoryview(data)[at + 16 * docs + 8 * (blocks + 1) :]
+        self.bits, self.block, self.codes = map(int, np.frombuffer(head, "<u4", 3, 4))
+        docs, self.n, blocks = map(int, np.frombuffer(head, "<u8", 3, 16))
+        index = self._bytes(HEAD_BYTES, 17 * docs + 8 * (blocks + 1))
+        self.doc_ids = np.frombuffer(index, "<i8", docs)
+        self.null = np.frombuffer(index, np.uint8, docs, 8 * docs).astype(bool)
+        self.starts = np.frombuffer(index, "<u8", docs, 9 * docs).astype(np.int64)
+        self.offsets = np.frombuffer(index, "<u8", blocks + 1, 17 * docs).astype(np.int64)
+        self.payload = HEAD_BYTES + len(index)
+
+    def _bytes(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
 
     def ids(self, a: int, b: int) -> np.ndarray:
         """The ids from a up to b; reads only the blocks that hold them."""
+        if b <= a:
+            return np.zeros(0, np.uint32)
+        first, last = a // self.block, -(-b // self.block)
+        raw = self._bytes(self.payload + int(self.offsets[first]), int(self.offsets[last] - self.offsets[first]))
         out = []
-        for k in range(a // self.block, -(-b // self.block) if b > a else 0):
+        for k in range(first, last):
             base, size = k * self.block, min(self.block, self.n - k * self.block)
             lo, hi = max(a, base) - base, min(b, base + size) - base
-            out.append(unpack(bytes(self.payload[self.offsets[k] : self.offsets[k + 1]]), hi, self.bits)[lo:])
-        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+            own = raw[self.offsets[k] - self.offsets[first] : self.offsets[k + 1] - self.offsets[first]]
+            out.append(unpack(own, hi, self.bits)[lo:])
+        return np.concatenate(out)
 
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]) if k + 1 < len(self.starts) else self.n)
 
 
-def _put(folder: str, name: str, data: bytes) -> None:
-    """Write under another name, then rename: a file is whole or absent, whichever attempt wrote it."""
+def _store(folder: str) -> tuple:
     from pyarrow import fs
 
-    store, base = fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(folder)
+
+
+def _put(folder: str, name: str, data: bytes) -> None:
+    """Write under another name, then rename: a file is whole or absent, whichever attempt wrote it."""
+    store, base = _store(folder)
     store.create_dir(base, recursive=True)
     part = f"{base}/_{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(part) as out:
@@ -118,9 +140,10 @@ def _put(folder: str, name: str, data: bytes) -> None:
 def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Tokenize documents (doc_id, text; further columns are ignored) into shard files below folder.
 
-    Rows are dealt by ranges of doc_id, equal and null ids further by their text's hash, so no key
-    gathers in one task; null ids come first, equal ids in the order of that hash. Null texts count
-    as empty: such a document is end_id alone. Repeated rows are kept. An empty table writes no file.
+    Rows are dealt by ranges of doc_id, equal and null ids further by their text's hash, and rows that
+    agree in both by their place in the input, so no key gathers in one task; null ids come first, equal
+    ids in the order of that hash. Null texts count as empty: such a document is end_id alone. Repeated
+    rows are kept. An empty table writes no file.
     Returns the manifest: shard (ascending with doc_id), part, n_docs, n_ids, file.
     """
     prepare(docs.sparkSession)
@@ -155,45 +178,49 @@ def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", en
             yield close()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie", F.monotonically_increasing_id()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     return dealt.select("doc_id", "text").mapInArrow(shards, "shard long, part long, n_docs long, n_ids long, file string")
 
 
-def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Per document of the shard files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+def bases(manifest: DataFrame) -> DataFrame:
+    """file and base (ids of all files before it): sums within a shard, and over the shards, of which each writing task has one."""
+    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shards = manifest.groupBy("shard").agg(F.sum("n_ids").alias("total"))
+    before = shards.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
+    within = manifest.select("shard", "file", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("within"))
+    return within.join(before, "shard").select("file", (F.col("before") + F.col("within")).alias("base"))
+
+
+def read(folder: str, manifest: DataFrame) -> DataFrame:
+    """Per document of the shard files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    Each file is read some blocks at a time. A manifest without rows gives no rows.
+    """
+    spark = manifest.sparkSession
     prepare(spark)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, data in zip(b.column(0), b.column(1)):
-                s = Shard(data.as_py())
-                ends = np.append(s.starts[1:], s.n)
-                crcs = np.zeros(len(s.starts), np.int64)
-                ids, base = np.zeros(0, np.uint32), 0
-                for k, (a, z) in enumerate(zip(s.starts.tolist(), ends.tolist())):
-                    if z > base + len(ids):  # the next run of whole documents, some blocks at a time
-                        stop = max(z, min(s.n, a + 64 * s.block))
-                        ids, base = s.ids(a, stop), a
-                    crcs[k] = zlib.crc32(ids[a - base : z - base].astype("<u4").tobytes())
-                null = s.doc_ids == NO_ID
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name.as_py()] * len(null), pa.string()), pa.array(s.doc_ids, pa.int64(), mask=null), pa.array(s.starts, pa.int64()), pa.array(ends - s.starts, pa.int64()), pa.array(crcs, pa.int64())],
-                    names=["file", "doc_id", "place", "n_tokens", "ids_crc32"],
-                )
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.twp").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    docs = files.mapInArrow(decode, "file string, doc_id long, place long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
-    base = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    return docs.join(base, "file").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+            for name, base in zip(*(c.to_pylist() for c in b.columns)):
+                store, root = _store(folder)
+                with store.open_input_file(f"{root}/{name}") as file:
+                    s = Shard(file)
+                    ends = np.append(s.starts[1:], s.n)
+                    crcs = np.zeros(len(s.starts), np.int64)
+                    ids, at = np.zeros(0, np.uint32), 0
+                    for k, (a, z) in enumerate(zip(s.starts.tolist(), ends.tolist())):
+                        if z > at + len(ids):  # the next run of whole documents, some blocks at a time
+                            stop = max(z, min(s.n, a + READ_BLOCKS * s.block))
+                            ids, at = s.ids(a, stop), a
+                        crcs[k] = zlib.crc32(ids[a - at : z - at].astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64(), mask=s.null), pa.array(s.starts + base, pa.int64()), pa.array(ends - s.starts, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return bases(manifest).repartition(lanes, "file").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokenize all documents into bit-packed files, read them back and report each document's ids."""
     folder = scratch(spark, "op1-files")
-    from tidewire.runtime import materialise
-
     manifest = materialise(write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder), "op1-manifest")
-    if not manifest.take(1):
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read(spark, folder, manifest)
+    return read(folder, manifest)
