@@ -47,6 +47,11 @@ def encoder(name_or_path: str) -> "Encoder":
     return _encoders[name_or_path]
 
 
+def forget_encoders() -> None:
+    """Free the encoders of this worker process, in tasks that need the room and no encoder."""
+    _encoders.clear()
+
+
 def vocab_size(name_or_path: str) -> int:
     from tokenizers import Tokenizer
 
