@@ -111,7 +111,8 @@ def test_vantage_point_links_are_exact(n):
     flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(n)]
     points = np.unique(np.array([int(centres[i % 8]) ^ f for i, f in enumerate(flips)], np.uint64))
     forest = simhash.Forest(len(points))
-    simhash.link_shard(points, 4, forest, leaf=8)
+    splits = simhash.link_shard(points, 4, forest, leaf=8)
+    assert (splits > 0) == (n > 8)
     near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 4
     want = brute.component_of(range(len(points)), zip(*np.nonzero(near)))
     assert [forest.find(k) for k in range(len(points))] == [want[k] for k in range(len(points))]
@@ -124,7 +125,37 @@ def test_masks_lose_no_pair(blocks_for):
     for _ in range(500):
         a = int(rng.integers(0, 1 << 63))
         b = a ^ sum(1 << int(k) for k in rng.choice(64, 4, replace=False))
-        assert any(a & m == b & m for m in keys)
+        shared = [m for m in keys if a & m == b & m]
+        assert shared and all(any(a & f == b & f for f in simhash.finer(m, 4)) for m in shared)
+
+
+@pytest.mark.parametrize(("shard", "most"), [(1024, 50_000), (8, 50_000), (64, 3), (1 << 20, 10)])
+def test_shards_of_any_size_give_the_same_components(spark, shard, most):
+    """Fingerprints that resemble each other fill few shards; those are dealt again, and no link is lost."""
+    rng = np.random.default_rng(3)
+    centre = int(rng.integers(0, 1 << 63))
+    flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 9), replace=False)) for _ in range(400)]
+    points = np.unique(np.array([centre ^ f for f in flips] + rng.integers(0, 1 << 63, 200).tolist(), np.uint64))
+    df = spark.createDataFrame([(x,) for x in points.view(np.int64).tolist()], "fp long")
+    links = [(r["a"], r["b"]) for r in simhash.near_links(df, 4, shard, most).collect()]
+    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 4
+    names = points.view(np.int64).tolist()
+    want = brute.component_of(names, [(names[i], names[j]) for i, j in zip(*np.nonzero(near))])
+    assert brute.component_of(names, links) == want
+
+
+def test_one_row_of_a_component_stays(spark):
+    near = "the quick brown fox jumps over the lazy dog and then some more words follow here today " * 15
+    other = near.replace("today", "tonight", 1)
+    assert (brute.simhash(near) ^ brute.simhash(other)).bit_count() <= 4 and near != other
+    data = [(5, "unrelated words that stand alone here"), (5, near), (3, other), (3, other), (None, near), (None, None), (None, ""), (8, " ")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(data)], "doc_id long, text string, tw_row int")
+    got = [tuple(r) for r in simhash.deduplicate(df).collect()]
+    assert sorted((r[0], r[1]) for r in got) == [(3, other), (5, data[0][1]), (8, " ")]
+    assert simhash.deduplicate(df).columns == df.columns
+    assert simhash.deduplicate(df.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, near), (None, near)], "doc_id long, text string")
+    assert simhash.deduplicate(nulls).count() == 1
 
 
 def test_near_duplicates_odd_rows(spark):

@@ -40,3 +40,31 @@ def test_stages(spark, tmp_path):
             assert sorted(now.columns) == sorted(corpus_pipeline.COLUMNS)
         assert len(kept) <= len(before)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Repeated and null ids, null columns, empty tables and columns that bear the names which operators add."""
+    good = documents()[0][1]
+    odd = [(1, good, "en", None), (1, good, "en", "a"), (None, good + " more of it", None, "b"), (None, None, "es", "c"), (2, "", None, "d"), *((d, t, lang, "e") for d, t, lang, *_ in documents()[1:60])]
+    kinds = "doc_id long, text string, lang string, source string, score string, kept string, contaminated string, tw_row string, n_chars long"
+    rows = [(d, t, lang, s, f"s{k}", f"k{k}", f"c{k}", f"r{k}", 0) for k, (d, t, lang, s) in enumerate(odd)]
+    spark.createDataFrame([(1, "no such words here at all in any text of these")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, data in (("some", rows), ("none", [])):
+        now = spark.createDataFrame(data, kinds)
+        now.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        before = {tuple(r) for r in now.collect()}
+        for k, (stage, run) in enumerate(corpus_pipeline.STAGES):
+            run(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}-{k}")
+            now = spark.read.parquet(f"{tmp_path}/{name}-{k}")
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert now.columns == [c.split()[0] for c in kinds.split(", ")]
+                got = [tuple(r) for r in now.collect()]
+                assert len(set(got)) == len(got) and set(got) <= before, stage
+                if name == "some":
+                    assert got
+                if stage == "exact_dedup":
+                    texts = [r[1] for r in got]
+                    assert len(set(texts)) == len(texts)
+                before = set(got)
+        assert now.select("doc_id").count() >= len(before)

@@ -28,6 +28,8 @@ PASS_BYTES = 4 << 20
 #: Patterns are searched in classes of least lengths, so that a short item does not shorten all skips.
 CLASSES = (3, 12, 40)
 
+ADDED = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "tw_ranges", "tw_names"]
+
 FOLD = np.full(256, 32, np.uint8)  # anything but word bytes becomes a space
 for _b in [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]:
     FOLD[_b] = _b
@@ -186,8 +188,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, pass_bytes:
     """
     spark = docs.sparkSession
     prepare(spark)
-    added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    docs = docs.drop(*added, "tw_ranges", "tw_names")
+    docs = docs.drop(*ADDED)
     items = benchmark.filter("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("binary").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-int(total) // pass_bytes))
@@ -218,13 +219,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, pass_bytes:
                 hits = [int((r[:, 1] - r[:, 0]).sum()) for _, r, _ in done]
                 digests = [hashlib.sha256(",".join(sorted(s, key=lambda x: x.encode())).encode()).hexdigest() for s in names]
                 extra = [pa.array([n for n, _, _ in done], pa.int64()), pa.array(hits, pa.int64()), pa.array(list(map(len, names)), pa.int64()), pa.array(digests, pa.string()), pa.array([h > 0 for h in hits], pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-2], *extra], names=[*b.schema.names[:-2], *added])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], *extra], names=[*b.schema.names[:-2], *ADDED[:5]])
 
         form = f"{kinds}, tw_ranges binary, tw_names array<string>" if more else f"{kinds}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
         return rows.mapInArrow(search, form)
 
     for k in range(passes):  # each pass holds about pass_bytes of benchmark text, and hands on what it found
-        part = [(r["name"], bytes(r["text"])) for r in items.filter(F.pmod(F.xxhash64("name"), F.lit(passes)) == k).collect()]
+        part = [(r["name"], bytes(r["text"])) for r in items.filter(F.pmod(F.xxhash64("name", "text"), F.lit(passes)) == k).collect()]
         rows = one(spark.sparkContext.broadcast(part), rows, k < passes - 1)
     return rows
 

@@ -8,17 +8,21 @@ all rows hold reaches its partition as one row per task.
 
 from __future__ import annotations
 
+import os
 import struct
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.runtime import materialise, prepare, table
 
+from .columns import aside
+
+ADDED = ["keep_id", "group_size", "kept", "text_sha256", "tw_bytes", "tw_ties", "tw_row", "tw_first"]
 #: Bytes of keys and nodes that a trie holds before it spills a subtree (or, before the shuffle, is emptied).
 TRIE_BYTES = 48 << 20
 NODE_BYTES = 400
@@ -61,11 +65,17 @@ class Node:
         self.size = len(label) + NODE_BYTES
 
 
+def spill_folder() -> str | None:
+    """Where Spark lets this task spill: its own local folders; the task that is done again spills again."""
+    folders = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if d and os.access(d, os.W_OK)]
+    return folders[0] if folders else None
+
+
 class Spilled:
     """A subtree on disk: records of (rest of the key, owner) below one edge of the root."""
 
     def __init__(self, label: bytes):
-        self.label, self.file = label, tempfile.TemporaryFile()
+        self.label, self.file = label, tempfile.TemporaryFile(dir=spill_folder())
 
     def add(self, key: bytes, owner: Owner) -> None:
         self.file.write(struct.pack("<QqQQ?", len(key), owner[0] or 0, owner[1], owner[2], owner[0] is None) + key)
@@ -223,7 +233,7 @@ def mark(docs: DataFrame, largest: bool = True) -> DataFrame:
     carried back to the rows by length and SHA-256.
     """
     spark = docs.sparkSession
-    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256", "tw_bytes", "tw_ties")
+    docs = docs.drop(*ADDED)
     found = materialise(owners(docs, largest), "op5-owners")
     found = found.select("text_sha256", F.col("n_bytes").alias("tw_bytes"), "keep_id", F.col("ties").alias("tw_ties"), "group_size")
     text = F.coalesce("text", F.lit(""))
@@ -233,19 +243,20 @@ def mark(docs: DataFrame, largest: bool = True) -> DataFrame:
     joined = joined.withColumn("keep_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long"))
     owner = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     if found.filter("tw_ties > 1").take(1):
-        # Rows with the same text and id: one of them stays. All other rows are dealt by a hash of their own.
+        # Rows with the same text and id: the one with the least number stays, which partial sums find. The rows
+        # are numbered and written, so that a lost executor numbers none anew.
+        joined = materialise(joined.withColumn("tw_row", F.monotonically_increasing_id()), "op5-rows")
         tied = owner & (F.coalesce("tw_ties", F.lit(1)) > 1)
-        lane = F.when(tied, F.lit(-1)).otherwise(F.monotonically_increasing_id())
-        place = Window.partitionBy("text_sha256", "doc_id", "tw_lane").orderBy(F.lit(0))
-        joined = joined.withColumn("tw_lane", lane).withColumn("kept", owner & (F.row_number().over(place) == 1)).drop("tw_lane")
+        first = joined.filter(tied).groupBy("text_sha256", "tw_bytes").agg(F.min("tw_row").alias("tw_row")).select("tw_row", F.lit(True).alias("tw_first"))
+        joined = joined.join(first, "tw_row", "left").withColumn("kept", owner & (~tied | F.coalesce("tw_first", F.lit(False))))
     else:
         joined = joined.withColumn("kept", owner)
     return joined.select(*docs.columns, "keep_id", "group_size", "kept", "text_sha256")
 
 
 def deduplicate(docs: DataFrame, largest: bool = True) -> DataFrame:
-    """The rows that stay, with the columns of docs."""
-    return mark(docs, largest).filter("kept").select(*docs.columns)
+    """The rows that stay, with the columns of docs, whatever their names."""
+    return aside(docs, ADDED, lambda rows: mark(rows, largest).filter("kept"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
 """SimHash near-duplicates: fingerprints, vantage-point trees, connected components.
 
-Fingerprints of up to `radius` differing bits are linked. Splitting the 64 bits into radius + 1
-masks leaves at least one mask on which two linked fingerprints agree, so every fingerprint goes to
-one shard per mask: those at masked distance zero. With more fingerprints the masks are unions of
-smaller blocks, which keeps shards small. Inside a shard a vantage-point tree splits at the median
-distance; only points near the boundary, by the triangle inequality, are compared across it.
+Fingerprints of up to `radius` differing bits are linked. The 64 bits are cut into radius + 1 blocks,
+so two linked fingerprints agree on at least one whole block: for each block, fingerprints at masked
+distance zero make a shard. As many bits of a block count as make shards of about SHARD fingerprints.
+Inside a shard a vantage-point tree splits at the median distance; of the points on its two sides only
+those are compared whose distances to the vantage point the triangle inequality lets be near. A shard
+that is far too large, because its fingerprints resemble each other, is dealt again by all its bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,10 @@ from .components import components
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-LEAF = 96
+#: Points that a shard holds on average, points of a tree's leaf, points from which a shard is dealt again.
+SHARD, LEAF, MOST = 1024, 24, 50_000
+#: Pairs compared at once.
+PAIRS = 1 << 20
 #: Words hashed at once.
 PART_WORDS = 1 << 18
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -78,19 +82,21 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> Data
     return docs.mapInArrow(hash_all, f"{kinds}fp long")
 
 
-def masks(radius: int, n: int, bits: int = 64, shard: int = 8000) -> list[int]:
-    """Masks on at least one of which two fingerprints within the radius agree.
+def masks(radius: int, n: int, bits: int = 64, shard: int = SHARD) -> list[int]:
+    """Masks on at least one of which two fingerprints within the radius agree: a part of each of radius + 1 blocks.
 
-    The bits are cut into blocks; a mask is the union of all blocks but `radius` of them. More blocks
-    make longer masks: the fewest are taken whose shards hold at most about `shard` of n fingerprints.
+    Of a block so many bits are taken that n even fingerprints make shards of about `shard`, all if need be.
     """
-    for blocks in range(radius + 1, bits + 1):
-        cuts = [bits * k // blocks for k in range(blocks + 1)]
-        kept = bits * (blocks - radius) // blocks
-        if n >> kept <= shard or blocks >= radius + 4:
-            parts = [((1 << cuts[k + 1]) - (1 << cuts[k])) for k in range(blocks)]
-            return [sum(c) for c in combinations(parts, blocks - radius)]
-    raise ValueError("more differing bits than blocks")
+    cuts = [bits * k // (radius + 1) for k in range(radius + 2)]
+    wanted = max(1, (max(n, 1) // shard).bit_length())
+    return [((1 << min(wanted, z - a)) - 1) << a for a, z in zip(cuts, cuts[1:])]
+
+
+def finer(mask: int, radius: int, bits: int = 64) -> list[int]:
+    """Masks that hold a given one, on at least one of which two fingerprints agree that agree on it and are linked."""
+    free = [k for k in range(bits) if not mask >> k & 1]
+    cuts = [len(free) * k // (radius + 1) for k in range(radius + 2)]
+    return [mask | sum(1 << k for k in free[a:z]) for a, z in zip(cuts, cuts[1:])]
 
 
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -115,69 +121,87 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def link_shard(points: np.ndarray, radius: int, forest: Forest, leaf: int = LEAF) -> None:
-    """Join all positions of points within the radius: a vantage-point tree joined with itself."""
-
-    def compare(a: np.ndarray, b: np.ndarray, same: bool) -> None:
-        step = max(1, (1 << 20) // max(1, len(b)))
-        for k in range(0, len(a), step):
-            part = a[k : k + step]
-            i, j = np.nonzero(distance(points[part][:, None], points[b][None, :]) <= radius)
-            if same:
-                on = j > i + k
-                i, j = i[on], j[on]
-            for x, y in zip(part[i].tolist(), b[j].tolist()):
-                forest.join(x, y)
-
-    def within(ids: np.ndarray) -> None:
-        todo = [ids]
-        while todo:
-            ids = todo.pop()
-            if len(ids) <= leaf:
-                compare(ids, ids, True)
-                continue
-            d = distance(points[ids], points[ids[0]])
-            near = d <= radius
-            for y in ids[near].tolist():  # all of these are linked to the vantage point, and so to each other
-                forest.join(int(ids[0]), y)
-            # Inside the ball all are one component already; what lies around it may link to any of them.
-            ball, rest, dr = ids[near], ids[~near], d[~near]
-            if len(ball) > 1:
-                across(ball, d[near], rest, dr)
-            if len(rest) < 2:
-                continue
-            middle = int(np.median(dr))
-            inner = dr <= middle
-            if inner.all() or not inner.any():
-                inner = dr < dr.max() if dr.min() < dr.max() else np.arange(len(rest)) * 2 < len(rest)
-                across(rest[inner], dr[inner], rest[~inner], dr[~inner])
-                todo += [rest[inner], rest[~inner]]
-                continue
-            across(rest[inner], dr[inner], rest[~inner], dr[~inner])
-            todo += [rest[inner], rest[~inner]]
+def link_shard(points: np.ndarray, radius: int, forest: Forest, leaf: int = LEAF) -> int:
+    """Join all positions of points within the radius: a vantage-point tree joined with itself. Returns its splits."""
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        near = np.flatnonzero(distance(points[i], points[j]) <= radius)
+        for x, y in zip(i[near].tolist(), j[near].tolist()):
+            forest.join(x, y)
+
+    def pairs(a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        """Compare a[k] with b[lo[k]] up to b[hi[k]], some pairs at a time."""
+        many = np.maximum(0, hi - lo)
+        upto = np.cumsum(many)
+        at = 0
+        while at < len(a):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+            m = many[at:to]
+            before = np.cumsum(m) - m
+            join(np.repeat(a[at:to], m), b[np.repeat(lo[at:to] - before, m) + np.arange(int(m.sum()))])
+            at = to
 
     def across(a: np.ndarray, da: np.ndarray, b: np.ndarray, db: np.ndarray) -> None:
-        """Pairs of one point each: distances to the vantage point differ by at most the radius."""
-        for x in np.unique(da).tolist():
-            near = (db >= x - radius) & (db <= x + radius)
-            if near.any():
-                compare(a[da == x], b[near], False)
+        """Pairs of one point each: their distances to the vantage point differ by the radius at most."""
+        order = np.argsort(db, kind="stable")
+        db = db[order]
+        pairs(a, b[order], np.searchsorted(db, da - radius), np.searchsorted(db, da + radius, side="right"))
+
+    splits = 0
+    todo = [np.arange(len(points))] if len(points) else []
+    while todo:
+        ids = todo.pop()
+        if len(ids) <= leaf:
+            k = np.arange(len(ids))
+            pairs(ids, ids, k + 1, np.full(len(ids), len(ids)))
+            continue
+        splits += 1
+        d = distance(points[ids], points[ids[0]]).astype(np.int64)
+        near = d <= radius
+        for y in ids[near].tolist():  # all of these are linked to the vantage point, and so to each other
+            forest.join(int(ids[0]), y)
+        # What lies around the ball may link to any point of it.
+        across(ids[near], d[near], ids[~near], d[~near])
+        rest, dr = ids[~near], d[~near]
+        inner = dr <= int(np.median(dr)) if len(dr) else np.zeros(0, bool)
+        if inner.all():  # half of them or more are equally far
+            inner = dr < dr.max() if len(dr) and dr.min() < dr.max() else np.arange(len(rest)) * 2 < len(rest)
+        across(rest[inner], dr[inner], rest[~inner], dr[~inner])
+        todo += [x for x in (rest[inner], rest[~inner]) if len(x) > 1]
+    return splits
+
+
+def dealt_by(prints: DataFrame, keys: list[int]) -> DataFrame:
+    """(fp, mask, part): each fingerprint once for each mask, with the bits that the mask keeps."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in keys]
+    every = F.array(*[F.struct(F.lit(m).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for m in signed])
+    return prints.select("fp", F.explode(every).alias("shard")).select("fp", "shard.mask", "shard.part")
 
-    if len(points):
-        within(np.arange(len(points)))
 
+def shards(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, most: int = MOST) -> DataFrame:
+    """(fp, mask, part) of distinct fingerprints: any two within the radius share a mask and part.
 
-def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    A shard of over `most` is replaced by finer ones; those agree on a fifth of their other bits also.
+    """
+    keys = masks(radius, prints.count(), shard=shard)
+    dealt = dealt_by(prints, keys)
+    sizes = dealt.groupBy("mask", "part").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("mask", "part")
+    sizes = materialise(sizes, "op8-large")
+    if not sizes.take(1):
+        return dealt
+    small = dealt.join(sizes, ["mask", "part"], "left_anti")
+    large = dealt.join(sizes, ["mask", "part"], "left_semi")
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    parts = [dealt_by(large.filter(F.col("mask") == signed(m)), finer(m, radius)) for m in keys]
+    return reduce(DataFrame.union, parts, small.select("fp", "mask", "part"))
+
+
+def near_links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, most: int = MOST) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp): a spanning forest of each shard's exact pairs."""
     spark = prints.sparkSession
     prepare(spark)
-    n = prints.count()
-    keys = masks(radius, n)
-    signed = [m - (1 << 64) if m >> 63 else m for m in keys]
-    dealt = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(signed)])).alias("shard"))
-    # A part that one fingerprint alone has holds no link, and is not sent anywhere.
     lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("fp", "shard.mask", "shard.part").repartition(lanes, "mask", "part").sortWithinPartitions("mask", "part")
+    dealt = shards(prints, radius, shard, most).repartition(lanes, "mask", "part").sortWithinPartitions("mask", "part")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -192,7 +216,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(points[own].view(np.int64)), pa.array(points[root[own]].view(np.int64))], names=["a", "b"])
 
         def small(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-            """Shards of two: compared all at once."""
+            """Shards of two points: compared all at once."""
             a, b = fp[starts], fp[starts + 1]
             on = (distance(a, b) <= radius) & (a != b)
             return pa.RecordBatch.from_arrays([pa.array(a[on].view(np.int64)), pa.array(b[on].view(np.int64))], names=["a", "b"])
@@ -229,28 +253,46 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(link, "a long, b long")
 
 
-def cluster(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Add component_id, the smallest doc_id that links reach, to written rows (doc_id, fp)."""
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "op8-distinct")
-    roots = components(near_links(distinct.select("fp"), radius), "op8-components")
-    found = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    found = materialise(found, "op8-found")
-    named = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(found.join(named, "root").select("fp", "component_id"), "fp")
+def roots(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp and root (one fingerprint for each component) of every distinct fingerprint of a written table."""
+    distinct = materialise(prints.select("fp").distinct(), "op8-distinct")
+    found = components(near_links(distinct, radius), "op8-components")
+    return materialise(distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root")), "op8-roots")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of documents (doc_id, text); other columns are ignored.
 
-    Null and empty texts have fingerprint zero and link like any other. Null ids never name a component
-    unless all its ids are null. Repeated rows are kept; an empty table gives no rows.
+    Null and empty texts have fingerprint zero and link like any other; texts of any length are hashed
+    whole, some words at a time. Null ids never name a component unless all its ids are null. Repeated
+    rows are kept; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = materialise(fingerprints(rows, size, seed), "op8-prints")
-    found = cluster(prints, radius)
+    of = roots(prints, radius)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = of.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    found = prints.join(of.join(named, "root").select("fp", "component_id"), "fp")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def deduplicate(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """One row of each component of near duplicates: that with the smallest doc_id, null ids last, with the columns of docs.
+
+    Rows with equal ids are told apart, and of rows that agree in everything one stays. Null and empty
+    texts are near duplicates of each other. An empty table gives no rows. All input columns stay.
+    """
+    row = "tw_row"
+    while row in docs.columns:
+        row += "_"
+    # Rows are numbered once and written, so that they have the same numbers whenever they are read.
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "op8-rows")
+    prints = materialise(fingerprints(rows.select(F.col(row).alias("row"), "doc_id", "text"), size, seed), "op8-prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "row")).alias("first")
+    stay = prints.groupBy("fp").agg(first).join(roots(prints, radius), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    return rows.join(stay.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint all documents and name each one's component."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
