@@ -6,40 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import decontamination, exact_dedup, language, packing, simhash
+from tidewire.llm.columns import aside
 from tidewire.runtime import materialise, table
 
-#: Texts whose n-grams are known to the predicted language's filter for less than this share are not kept.
-LEAST_SCORE = 0.2
+#: A text is kept if the predicted language's filter knows at least this share of its n-grams.
+LEAST_SCORE = 0.3
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without letters and those that no learned language explains; learns from all labelled rows."""
+    """Reject documents without letters and those that no learned language explains (LEAST_SCORE).
+
+    Learns from all labelled rows of docs. Null and empty texts have no letters; rows are judged one by one,
+    repeated ones alike. If no row has a language, none is learnt and all are rejected.
+    """
     filters = language.fit(docs.select("doc_id", "text", "lang"))
-    found = language.identify(docs, filters)
-    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    good = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    return aside(docs, ["lang_pred", "score"], lambda rows: language.identify(rows, filters).filter(good))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays, null ids last; of rows that tie one stays. Null equals empty."""
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays."""
-    found = simhash.near_duplicates(docs)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("tw_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("tw_stay")), "left_semi").select(*docs.columns)
+    """Of each group of near duplicates one row stays: the smallest doc_id, null ids last, of repeated ids one row."""
+    return simhash.deduplicate(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
-    found = decontamination.mark(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return found.filter(~F.col("contaminated")).select(*docs.columns)
+    """Rows with a window of a benchmark item go; texts without words, and all if there are no items, stay."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return aside(docs, decontamination.ADDED, lambda rows: decontamination.mark(rows, items).filter(~F.col("contaminated")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place every remaining document in sequences of 2048 tokens."""
+    """Place every remaining row in sequences of 2048 tokens; null and repeated ids are packed row by row."""
     return packing.pack(docs.select("doc_id", "text"))
 
 
