@@ -128,4 +128,10 @@ def format_duration(ms: Column) -> Column:
 
 def retry_after(c: Column) -> Column:
     """Seconds that a server asks to wait; never negative, null if unreadable."""
-    return F.greatest(c.try_cast("double"), F.lit(0.0))
+    seconds = c.try_cast("double")
+    return F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0.0)))
+
+
+def split_list(c: Column) -> Column:
+    """Parts of a comma-separated text: trimmed, folded, without blanks; null for null."""
+    return F.filter(F.transform(F.split(c, ","), lambda x: casefold(F.trim(x))), lambda x: x != "")

@@ -127,13 +127,24 @@ def discovered_name(url: Column) -> Column:
     return F.concat(F.lit("Discovered feed - "), F.substring(place, 1, 180))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its `.` and `..` segments worked off; what would climb above the root stays there."""
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(part == ".", done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.array_join(parts, "/"), F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit("")))
+
+
 def resolve(base: Column, href: Column) -> Column:
     """A link on a page as a whole url."""
     origin = F.concat(scheme(base), F.lit("://"), netloc(base))
     folder = F.regexp_replace(F.regexp_extract(base, _URL, 3), r"[^/]*$", "")
     folder = F.when(folder == "", "/").otherwise(folder)
-    relative = F.concat(folder, F.regexp_replace(href, r"^\./", ""))
-    for _ in range(4):  # a/../ goes, a few levels deep
-        relative = F.regexp_replace(relative, r"/(?!\.\./)[^/]+/\.\./", "/")
-    relative = F.regexp_replace(relative, r"^/(?:\.\./)+", "/")
-    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href)).when(href.startswith("/"), F.concat(origin, href)).when(href == "", base).when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href)).when(href.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), href)).otherwise(F.concat(origin, relative))
+    path, tail = F.regexp_extract(href, r"^[^?#]*", 0), F.regexp_extract(href, r"^[^?#]*((?s:.*))$", 1)
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
+    placed = F.concat(origin, without_dots(whole), tail)
+    bare = F.regexp_replace(base, r"#.*$", "")
+    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href)).when(href == "", base).when(href.startswith("#"), F.concat(bare, href)).when(href.startswith("?"), F.concat(F.regexp_replace(bare, r"\?.*$", ""), href)).otherwise(placed)

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tidewire.config import DEFAULT, Settings
 
@@ -84,3 +85,18 @@ def _row(own: pd.DataFrame, apart: np.ndarray, agreed: bool) -> dict:
         "max_distance_m": round(float(apart.max()), 1),
         "consensus": bool(agreed),
     }
+
+
+#: The names under which providers' metadata tell of a cluster.
+COUNT_KEY, DISTANCE_KEY = "geo_cluster_provider_count", "geo_cluster_max_distance_m"
+
+
+def told_count(metadata: Column) -> Column:
+    """How many providers a cluster has, by its metadata; 1 unless digits say so."""
+    said = metadata[COUNT_KEY]
+    return F.when(said.rlike(r"^[0-9]+$"), said.try_cast("int")).otherwise(1)
+
+
+def told_distance(metadata: Column) -> Column:
+    """How far apart a cluster's places are, by its metadata; 0 unless a number says so."""
+    return F.coalesce(metadata[DISTANCE_KEY].try_cast("double"), F.lit(0.0))

@@ -11,8 +11,8 @@ from tidewire.functions.similarity import with_fuzzy
 from tidewire.functions.text import normalize_location, present
 from tidewire.sources.catalogs import place_names
 
-#: A catalog up to this many names and aliases is sent to all tasks; a larger one meets queries by shared words.
-CATALOG_NAMES = 5000
+#: Names and texts up to this long also meet by stretches of two letters.
+SHORT = 10
 
 
 def _pieces(*cols: Column) -> Column:
@@ -37,10 +37,11 @@ def queries_of() -> Column:
     return F.transform(F.filter(pairs, lambda p, k: F.array_position(keys, p["key"]) == k + 1), lambda p: p["query"])
 
 
-def match_catalog(texts: DataFrame, places: DataFrame, column: str = "text") -> DataFrame:
+def match_catalog(texts: DataFrame, places: DataFrame, column: str = "text", least: float = DEFAULT.catalog_threshold) -> DataFrame:
     """Per distinct text its best name in the catalog: key, entry columns, score and exact.
 
-    Exact names are found by an equi-join; other texts are compared with all names. Of equal scores the
+    Texts without a name that is exact or scores `least` have no row. Exact names are found by an
+    equi-join; other texts meet the names that share a word or a stretch of letters. Of equal scores the
     first name in the catalog wins.
     """
     names = place_names(places)
@@ -50,18 +51,28 @@ def match_catalog(texts: DataFrame, places: DataFrame, column: str = "text") ->
     first = names.groupBy("matched_key").agg(F.min_by(row, F.struct("ordinal", "name_ordinal")).alias("entry"))
     exact = keys.join(first, keys.key == first.matched_key).select("key", "entry", F.lit(1.0).alias("score"), F.lit(True).alias("exact"))
     rest = keys.join(first, keys.key == first.matched_key, "left_anti")
-    small = names.count() <= CATALOG_NAMES
-    pairs = rest.join(F.broadcast(names), F.lit(True)) if small else _by_words(rest, names)
-    scored = with_fuzzy(pairs, F.col("key"), F.col("matched_key"), "fz").withColumn("score", F.col("fz.weighted") * 0.5 + F.col("fz.token_set") * 0.3 + F.col("fz.token_sort") * 0.2)
+    scored = with_fuzzy(_meeting(rest, names), F.col("key"), F.col("matched_key"), "fz").withColumn("score", F.col("fz.weighted") * 0.5 + F.col("fz.token_set") * 0.3 + F.col("fz.token_sort") * 0.2)
+    scored = scored.filter(F.col("score") >= least)
     best = scored.groupBy("key").agg(F.max_by(F.struct(row.alias("entry"), "score"), F.struct("score", (-F.col("ordinal")).alias("a"), (-F.col("name_ordinal")).alias("b"))).alias("b"))
     return exact.unionByName(best.select("key", "b.entry", "b.score", F.lit(False).alias("exact")))
 
 
-def _by_words(keys: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs that share a three-letter stretch, for catalogs too large for all pairs; names without one score below every threshold."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    left = keys.withColumn("g", F.explode(grams(F.col("key"))))
-    right = names.withColumn("g", F.explode(grams(F.col("matched_key"))))
+def _stretches(c: Column, n: int) -> Column:
+    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def _meeting(keys: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs that share a word, three letters in a row, or, where both are short, two.
+
+    Texts that share no three letters in a row have at most two thirds of a longer text's letters in
+    common runs, which is below any threshold in use; only short ones get further.
+    """
+
+    def marks(c: Column) -> Column:
+        short = F.when(F.length(c) <= SHORT, F.transform(_stretches(c, 2), lambda x: F.concat(F.lit("2"), x))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(F.transform(F.split(c, " "), lambda x: F.concat(F.lit("w"), x)), F.transform(_stretches(c, 3), lambda x: F.concat(F.lit("3"), x)), short))
+
+    left, right = keys.withColumn("g", F.explode(marks(F.col("key")))), names.withColumn("g", F.explode(marks(F.col("matched_key"))))
     return left.join(right, "g").drop("g").distinct()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,6 +16,7 @@ PACKAGE = Path(__file__).resolve().parent
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Used only where the session names no shared folder (tests, a single machine).
 LOCAL_SCRATCH = "/tmp/checkpoints/tidewire"
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,15 +24,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that the driver and all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh path below the folder that the driver and all executors share.
+
+    That is the folder of spark.checkpoint.dir, else the one that the context has; only on a single
+    machine may both be missing.
+    """
+    root, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if not root and known.isDefined():
+        root = known.get()
     if not root:
-        root = LOCAL_SCRATCH
-        os.makedirs(root, exist_ok=True)
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(root)
-        root = f"file://{root}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        os.makedirs(LOCAL_SCRATCH, exist_ok=True)
+        root = f"file://{LOCAL_SCRATCH}"
+        sc.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this process has put into shared scratch, once the results that read it are stored; the number of folders."""
+    gone = 0
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -42,7 +62,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and bound their Arrow batches."""
+    """Let Python workers import this package, and bound their Arrow batches (two settings of the session, which stay)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext

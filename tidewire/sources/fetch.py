@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import urljoin, urlsplit
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 from tidewire.functions.urls import METADATA_HOSTS
+from tidewire.runtime import prepare
 
 REDIRECTS = (301, 302, 303, 307, 308)
 MOST_REDIRECTS, MOST_BYTES = 3, 2_000_000
@@ -76,3 +80,18 @@ def fetch(url: str | None, get: Callable[[str], Response], most_redirects: int =
         else:
             return Fetched(True, "ok", body=r.body, **about)
     return Fetched(False, "invalid", "unreachable")
+
+
+def fetch_all(wanted: DataFrame, get: Callable[[str], Response], column: str = "url", most_redirects: int = MOST_REDIRECTS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Fetch each row's url on the executors; adds status, error, final_url, content_type and body. No url stops another."""
+    prepare(wanted.sparkSession)
+    at = wanted.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [fetch(u, get, most_redirects, most_bytes) for u in b.column(at).to_pylist()]
+            added = {n: pa.array([getattr(f, n) for f in found], pa.binary() if n == "body" else pa.string()) for n in ("status", "error", "final_url", "content_type", "body")}
+            yield pa.RecordBatch.from_arrays([*b.columns, *added.values()], names=[*b.schema.names, *added])
+
+    kinds = "".join(f"`{c}` {t}, " for c, t in wanted.dtypes)
+    return wanted.mapInArrow(run, f"{kinds}status string, error string, final_url string, content_type string, body binary")

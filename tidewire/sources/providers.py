@@ -97,6 +97,14 @@ def request_url(provider: str, query: str, country: str = DEFAULT.country, limit
     return f"{ENDPOINTS[provider]}?{urlencode(params, quote_via=quote)}"
 
 
+def request_column(provider: str, query: Column, country: str = DEFAULT.country, limit: int = 5, key: str | None = None) -> Column:
+    """request_url() for a column of queries."""
+    mark = "0x7e"  # stands for a query; no character of it is encoded
+    before, after = request_url(provider, mark, country, limit, key).split(mark)
+    coded = F.replace(F.replace(F.replace(F.url_encode(query), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return F.concat(F.lit(before), coded, F.lit(after))
+
+
 def enabled(names: tuple[str, ...], keys: dict[str, str]) -> list[str]:
     """Providers in the configured order whose key is there."""
     return [n for n in names if n == "nominatim" or keys.get(n)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,22 +19,24 @@ def posts_stream(spark: SparkSession, folder: str, schema: StructType, files_per
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def store_new(batch: DataFrame, store: str, then: Callable[[DataFrame], None] | None = None) -> None:
-    """Append a batch's new posts to the store; a batch that is run again adds nothing twice.
+def store_new(batch: DataFrame, store: str, batch_id: str, then: Callable[[DataFrame], None] | None = None) -> None:
+    """Store a batch's new posts below its own name; a batch that is run again finds, and stores, the same posts.
 
-    then() gets the new posts: extraction, location, decisions and persistence follow from there.
+    then() gets the new posts as they are stored: extraction, location, decisions and persistence follow
+    from there. A batch that broke off, in writing or in then(), is run again as a whole, so then() sees
+    every new post at least once and must not mind to see a batch twice.
     """
     spark = batch.sparkSession
     hashed = batch.withColumn("content_hash", text.content_hash(F.col("source_id"), F.col("url"), F.col("raw_text")))
     columns = "source_id string, content_hash string"
-    stored = spark.read.schema(columns).parquet(store) if _exists(spark, store) else spark.createDataFrame([], columns)
-    new = collect.collect_new(hashed, stored, [F.col("ordinal")]).persist()
-    try:
-        new.write.mode("append").parquet(store)
-        if then is not None:
-            then(new)
-    finally:
-        new.unpersist()
+    stored = spark.createDataFrame([], columns)
+    if _exists(spark, store):  # what other batches stored; this one's own earlier attempt does not count
+        stored = spark.read.schema(f"{columns}, batch string").parquet(store).filter(F.col("batch") != batch_id).drop("batch")
+    new = collect.collect_new(hashed, stored, [F.col("ordinal")])
+    own = f"{store}/batch={batch_id}"
+    new.write.mode("overwrite").parquet(own)
+    if then is not None:
+        then(spark.read.schema(new.schema).parquet(own))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -44,7 +47,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def run_available(posts: DataFrame, store: str, checkpoint: str, then: Callable[[DataFrame], None] | None = None) -> None:
     """Work off all that has landed, in micro-batches one after another, and stop: what a schedule starts."""
-    query = posts.writeStream.foreachBatch(lambda batch, _: store_new(batch, store, then)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+    def work(batch: DataFrame, number: int) -> None:
+        # A new checkpoint numbers its batches anew, but has an id of its own.
+        said = batch.sparkSession.read.text(f"{checkpoint}/metadata", wholetext=True).first()["value"]
+        store_new(batch, store, f"{json.loads(said)['id']}-{number}", then)
+
+    query = posts.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -59,4 +69,4 @@ def ingest_twice(spark: SparkSession, posts: DataFrame) -> DataFrame:
     for part in (posts.filter("ordinal % 3 <> 0"), posts.filter("ordinal % 2 = 0 or coalesce(ordinal % 3, 0) = 0")):
         part.write.mode("append").parquet(landing)
         run_available(posts_stream(spark, landing, posts.schema), store, checkpoint)
-    return spark.read.parquet(store)
+    return spark.read.option("basePath", store).parquet(store).drop("batch")
