@@ -140,3 +140,36 @@ def unigram(docs, train):
         w = split(t)
         out[d] = (len(w), sum(c[x] > 0 for x in w), n, sum(np.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
     return out
+
+
+def language_sets(labelled, keep=20_000, least=3, size=4):
+    """Per language the set of its commonest byte n-grams, by plain counting; and the most frequent language."""
+    counts, sizes = defaultdict(Counter), Counter()
+    for text, lang in labelled:
+        if lang is not None:
+            sizes[lang] += 1
+            counts[lang].update(language_grams(text, size))
+    top = {}
+    for lang, c in counts.items():
+        rows = sorted(((-n, int.from_bytes(g, "little"), g) for g, n in c.items() if n >= least))
+        top[lang] = {g for _, _, g in rows[:keep]}
+    for lang in sizes:
+        top.setdefault(lang, set())
+    return top, max(sorted(sizes), key=lambda x: sizes[x], default=None)
+
+
+def language_grams(text, size=4):
+    """n-grams of bytes of a text between blanks; what is no letter is a blank, and none spans two blanks."""
+    raw = b" " + (text or "").encode().lower() + b" " * size
+    raw = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 32 for b in raw)
+    return [g for k in range(len(raw) - size + 1) if b"  " not in (g := raw[k : k + size])]
+
+
+def language(text, sets, default):
+    """(language, score) with exact sets."""
+    if not sets or not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    g = language_grams(text)
+    share = {lang: sum(x in s for x in g) / max(1, len(g)) for lang, s in sorted(sets.items())}
+    best = max(share, key=lambda x: share[x])
+    return (best, share[best]) if share[best] > 0 else (default, 0.0)

@@ -49,6 +49,19 @@ def test_op2(spark, sf_dir):
     assert found.score.between(0, 1).all()
 
 
+def test_op2_against_exact_sets(spark, sf_dir):
+    """Bloom filters against sets: the same languages, and scores within what their false positives can do."""
+    t = pd.read_parquet(f"{sf_dir}/documents.parquet")
+    held = [zlib.crc32(str(d).encode()) % 4 == 2 for d in t.doc_id]
+    sets, default = brute.language_sets([(x, lang) for x, lang, h in zip(t.text, t.lang, held) if not h])
+    found = {r["doc_id"]: r for r in QUERIES["op2_language_id"](spark, sf_dir).collect()}
+    assert len(found) == len(t)
+    for d, x in zip(t.doc_id, t.text):
+        lang, score = brute.language(x, sets, default)
+        assert found[d]["lang_pred"] == lang
+        assert abs(found[d]["score"] - score) <= 0.01
+
+
 def test_op4(spark, sf_dir, docs, encode):
     found = QUERIES["op4_best_fit_packing"](spark, sf_dir).toPandas()
     ids = {d: [*encode(t or ""), 0] for d, t in docs}

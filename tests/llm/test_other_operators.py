@@ -94,6 +94,8 @@ def test_chats_read_back(spark):
     one = made.filter("conv_id = 3").first()["formatted"]
     assert one == "<|assistant|>\na<|+|>a<|+|>b</s>\n"
     assert chat.format_chats(df.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    assert chat.format_chats(nulls).count() == 3  # none of them has a partner
 
 
 # --- url filters ---
@@ -124,6 +126,21 @@ def test_aliases_carry_blocks(spark):
     assert urls.judge(df.limit(0), urls.RULES).count() == 0
 
 
+def test_targets_are_resolved(spark):
+    page = "http://p.example.org/d/e/f.html?q"
+    made = [
+        ('<link rel=canonical href="../en/1">', "p.example.org/d/en/1"),
+        ('<link href="x.html" rel="canonical">', "p.example.org/d/e/x.html"),
+        ("<base href='http://q.example.org/z/'><link rel='canonical' href='y'>", "q.example.org/z/y"),
+        ('<BASE target=_top href="../k/"><meta content="5;URL=m" http-equiv="Refresh">', "p.example.org/d/k/m"),
+        ('<link rel="canonical" href="?a=1&amp;b=2">', "p.example.org/d/e/f.html?a=1&b=2"),
+        ('<link rel="canonical" href="//R.example.org">', "r.example.org/"),
+    ]
+    none = ['<link rel="canonical" href="">', '<link rel="canonical" href="mailto:a@b">', '<link rel="canonical" href="#x">', '<link rel="alternate" href="/o">', "<base href='/q'>"]
+    df = spark.createDataFrame([(page, h) for h, _ in made] + [(page, h) for h in none], "url string, html string")
+    assert sorted(r["b"] for r in urls.links(df).collect()) == sorted(b for _, b in made)
+
+
 def test_many_rules_agree_with_few(spark):
     rng = random.Random(4)
     hosts = ["com", "example.com", "a.example.com", "org", "x.org", ""]

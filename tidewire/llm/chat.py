@@ -35,11 +35,13 @@ def format_chats(turns: DataFrame, trained: str = TRAINED) -> DataFrame:
     """One row per conversation of turns (conv_id, turn, role, text): conv_id, formatted, loss.
 
     Turns are sorted by turn, then role and text, null turns first; null roles and texts count as
-    empty, and repeated rows stay. Rows with a null conv_id are one conversation. loss is an array of
-    (start, length) in characters of formatted. Other columns are ignored; an empty table gives no rows.
+    empty, and repeated rows stay. A row with a null conv_id belongs to no other: each is a conversation of
+    its own, so that all such rows together are no one row. loss is an array of (start, length) in
+    characters of formatted. Other columns are ignored; an empty table gives no rows.
     """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    chats = turns.groupBy("conv_id", alone.alias("tw_alone")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
     n = F.size("turns")
 
     def role_at(i: Column) -> Column:

@@ -24,6 +24,8 @@ from tidewire.runtime import materialise, prepare, table
 from .tokens import encoder, vocabulary
 
 CAPACITY = 2048
+#: So many rows in a row of the input may share a lane because they are equal.
+LANE_ROWS = 1000
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -129,25 +131,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces, which have a length from 1 to capacity; other columns stay.
 
-    pieces must be a written table: it is read for the counts and again for the places.
+    The pieces are written once with the lane that each falls to, and read for the counts and the places.
     """
     spark = pieces.sparkSession
     prepare(spark)
     if clash := {"sequence_id", "offset", "tw_lane", "tw_rank"} & set(pieces.columns):
         pieces = pieces.drop(*clash)
     lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A lane is a share of a length's pieces: a length that holds a third of all pieces is ranked by many tasks.
-    dealt = pieces.withColumn("tw_lane", F.pmod(F.xxhash64(*pieces.columns), F.lit(lanes)))
-    per_lane = dealt.groupBy("length", "tw_lane").agg(F.count("*").alias("tw_n")).persist()
-    try:
-        counts = {int(r["length"]): int(r["n"]) for r in per_lane.groupBy("length").agg(F.sum("tw_n").alias("n")).collect()}  # at most `capacity` rows
-        if any(not 1 <= n <= capacity for n in counts):
-            raise ValueError("a piece is longer than the capacity or empty")
-        rows, _ = plan(counts, capacity)
-        before = Window.partitionBy("length").orderBy("tw_lane").rowsBetween(Window.unboundedPreceding, -1)
-        base = materialise(per_lane.select("length", "tw_lane", F.coalesce(F.sum("tw_n").over(before), F.lit(0)).alias("tw_base")), "op4-lanes")
-    finally:
-        per_lane.unpersist()
+    # A lane is a share of a length's pieces: a length that holds a third of all pieces is ranked by many tasks,
+    # and so are pieces that agree in everything, which their places in the input tell apart.
+    lane = F.pmod(F.xxhash64(*pieces.columns, F.floor(F.monotonically_increasing_id() / LANE_ROWS)), F.lit(lanes))
+    dealt = materialise(pieces.withColumn("tw_lane", lane), "op4-pieces")
+    per_lane = materialise(dealt.groupBy("length", "tw_lane").agg(F.count("*").alias("tw_n")), "op4-lanes")
+    counts = {int(r["length"]): int(r["n"]) for r in per_lane.groupBy("length").agg(F.sum("tw_n").alias("n")).collect()}  # at most `capacity` rows
+    if any(not 1 <= n <= capacity for n in counts):
+        raise ValueError("a piece is longer than the capacity or empty")
+    rows, _ = plan(counts, capacity)
+    before = Window.partitionBy("length").orderBy("tw_lane").rowsBetween(Window.unboundedPreceding, -1)
+    base = per_lane.select("length", "tw_lane", F.coalesce(F.sum("tw_n").over(before), F.lit(0)).alias("tw_base"))
     within = Window.partitionBy("length", "tw_lane").orderBy(*pieces.columns)
     ranked = dealt.withColumn("tw_rank", F.row_number().over(within) - 1).join(base.hint("merge"), ["length", "tw_lane"]).withColumn("tw_rank", F.col("tw_rank") + F.col("tw_base"))
     ranked = ranked.select(*pieces.columns, F.col("tw_rank").cast("long").alias("tw_rank"))
@@ -177,7 +178,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0,
     packed row by row. Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset;
     no rows for an empty table.
     """
-    return place(materialise(token_pieces(docs, tokenizer, end_id, capacity), "op4-pieces"), capacity)
+    return place(token_pieces(docs, tokenizer, end_id, capacity), capacity)
 
 
 def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:

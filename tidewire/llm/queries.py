@@ -11,7 +11,7 @@ from .lm import op9_lm_scoring
 from .packing import op4_best_fit_packing
 from .simhash import op8_simhash
 from .token_files import op1_token_files
-from .urls import op10_url_filters
+from .urls import chained_verdicts, op10_url_filters
 
 QUERIES = {
     "op1_token_files": op1_token_files,
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_url_filters": op10_url_filters,
+    "chained_verdicts": chained_verdicts,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -68,14 +69,14 @@ ORACLE_SQL = {
         GROUP BY lines.doc_id""",
     "op7_chat_formatting": r"""
         WITH rows AS (
-            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
-            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+            SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, NULL, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
         ),
         near AS (
             SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after,
                    regexp_replace(regexp_replace(regexp_replace(text, '(<)(\\*(?:\||/?s>))', '\1\\\2', 'g'), '(\[)(\\*/?INST\])', '\1\\\2', 'g'), '(\|)(\\*>)', '\1\\\2', 'g') AS escaped
-            FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+            FROM rows WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn, role, text)
         )
         SELECT conv_id, count(*) AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
@@ -83,7 +84,11 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length(escaped) + CASE WHEN before IS DISTINCT FROM role THEN 5 + length(role) ELSE 5 END
                    + CASE WHEN after IS DISTINCT FROM role THEN 5 ELSE 0 END) AS BIGINT) AS formatted_chars
-        FROM near GROUP BY conv_id""",
+        FROM near GROUP BY conv_id, alone""",
+    "chained_verdicts": """
+        SELECT DISTINCT page_id, 'w' || CAST(page_id // 5 AS VARCHAR) || '.example.org' AS host, CAST(NULL AS VARCHAR) AS rule,
+               CASE WHEN (page_id // 5) % 3 = 0 AND bool_or(page_id % 5 = 4) OVER (PARTITION BY page_id // 5) THEN 'block' ELSE 'allow' END AS verdict
+        FROM pages""",
     "op10_url_filters": r"""
         WITH RECURSIVE parts AS (
             SELECT page_id, url, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.functions.urls import resolve
 from tidewire.runtime import table
 
 from .components import components
@@ -48,20 +49,27 @@ def node_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), rest))
 
 
+_HREF = r"href\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
+
+
+def _attribute(tag: Column) -> Column:
+    """The href of a tag, without its quotes; empty where there is none."""
+    return F.trim(F.regexp_replace(F.regexp_extract(tag, rf"(?is)\b{_HREF}", 0), r"(?is)^href\s*=\s*[\"']?|[\"']$", ""))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """Redirect and canonical links (a, b) between urls that pages (url, html) declare.
 
-    Read are <link rel=canonical href=...> and <meta http-equiv=refresh content="0; url=...">; a target
-    that begins with a slash is on the page's own host, one without scheme and slash is left out.
+    Read are <link rel=canonical href=...> and <meta http-equiv=refresh content="0; url=...">. Targets are
+    resolved as browsers do: against the page's <base href=...>, itself resolved against the url, or the url.
     """
     tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    tagged = pages.filter("url is not null and html is not null").select("url", F.explode(F.filter(tags, lambda t: t.rlike(r"(?is)rel\s*=\s*[\"']?\s*canonical\b|http-equiv\s*=\s*[\"']?\s*refresh\b"))).alias("tag"))
-    canonical = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", 0)
-    target = F.when(F.col("tag").rlike(r"(?is)^<link"), F.regexp_replace(canonical, r"(?is)^href\s*=\s*[\"']?|[\"']$", "")).otherwise(F.regexp_extract("tag", r"(?is)\burl\s*=\s*'?([^\"'>\s]+)", 1))
-    target = F.trim(target)
-    scheme = F.regexp_extract("url", r"^((?s:.*?)://[^/?#]*)", 1)
-    whole = F.when(target.startswith("//"), F.concat(F.lit("http:"), target)).when(target.startswith("/"), F.concat(scheme, target)).when(target.contains("://"), target)
-    return tagged.select(node_of(F.col("url")).alias("a"), node_of(whole).alias("b")).filter("a is not null and b is not null and a <> b")
+    based = pages.filter("url is not null and html is not null").withColumn("tw_base", _attribute(F.regexp_extract("html", rf"(?is)<base\b[^>]*\b{_HREF}[^>]*>", 0)))
+    based = based.select(F.when(F.col("tw_base") == "", F.col("url")).otherwise(resolve(F.col("url"), F.col("tw_base"))).alias("tw_base"), "url", "html")
+    tagged = based.select("url", "tw_base", F.explode(F.filter(tags, lambda t: t.rlike(r"(?is)rel\s*=\s*[\"']?\s*canonical\b|http-equiv\s*=\s*[\"']?\s*refresh\b"))).alias("tag"))
+    target = F.when(F.col("tag").rlike(r"(?is)^<link"), _attribute(F.col("tag"))).otherwise(F.regexp_extract("tag", r"(?is)\burl\s*=\s*'?([^\"'>\s]+)", 1))
+    aimed = tagged.select("url", "tw_base", F.replace(F.trim(target), F.lit("&amp;"), F.lit("&")).alias("target")).filter("target <> ''")
+    return aimed.select(node_of(F.col("url")).alias("a"), node_of(resolve(F.col("tw_base"), F.col("target"))).alias("b")).filter("a is not null and b is not null and a <> b")
 
 
 def decide(urls: DataFrame, rules: tuple[Rule, ...] | list[Rule]) -> DataFrame:
@@ -111,3 +119,27 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] | list[Rule], more_links: Da
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge all pages by five rules and their aliases."""
     return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
+
+
+def chained_pages(pages: DataFrame) -> DataFrame:
+    """A pages table with links, made of page_id alone: five pages to a chain, each naming the next in another way.
+
+    The last of every third chain names a blocked url, which makes all of that chain its aliases.
+    """
+    k, chain = F.col("page_id") % 5, F.floor(F.col("page_id") / 5)
+    url = F.concat(F.lit("https://W"), chain.cast("string"), F.lit(".example.org/a/b/"), F.col("page_id").cast("string"))
+    after = (F.col("page_id") + 1).cast("string")
+    tag = lambda *parts: F.concat(F.lit('<link rel="canonical" href="'), *parts, F.lit('">'))
+    html = (
+        F.when(k == 0, tag(after))
+        .when(k == 1, tag(F.lit("../../../a/./b/"), after, F.lit("#top")))
+        .when(k == 2, F.concat(F.lit("<head><base href='/a/'>"), tag(F.lit("b/"), after)))
+        .when(k == 3, F.concat(F.lit('<meta http-equiv="refresh" content="0; url=//w'), chain.cast("string"), F.lit(".example.org/a/b/"), after, F.lit('">')))
+        .when(chain % 3 == 0, tag(F.lit("https://www.example.com/en/"), chain.cast("string")))
+    )
+    return pages.select("page_id", url.alias("url"), html.alias("html"))
+
+
+def chained_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 says of pages that are linked by redirects and canonical names of every form."""
+    return judge(chained_pages(table(spark, sf_dir, "pages").select("page_id").distinct()), RULES).select("page_id", "host", "rule", "verdict")
