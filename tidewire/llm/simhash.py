@@ -279,18 +279,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, radi
 def deduplicate(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """One row of each component of near duplicates: that with the smallest doc_id, null ids last, with the columns of docs.
 
-    Rows with equal ids are told apart, and of rows that agree in everything one stays. Null and empty
-    texts are near duplicates of each other. An empty table gives no rows. All input columns stay.
+    Rows with equal ids are told apart by their texts (128 bits of hash); of rows that agree in id and
+    text one stays. Null and empty texts are near duplicates of each other. An empty table gives no rows.
+    All input columns stay.
     """
-    row = "tw_row"
-    while row in docs.columns:
-        row += "_"
-    # Rows are numbered once and written, so that they have the same numbers whenever they are read.
-    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "op8-rows")
-    prints = materialise(fingerprints(rows.select(F.col(row).alias("row"), "doc_id", "text"), size, seed), "op8-prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "row")).alias("first")
+    names = ["tw_a", "tw_b"]
+    while set(names) & set(docs.columns):
+        names = [f"{n}_" for n in names]
+    key = [F.xxhash64(F.lit(k), F.col("doc_id").cast("string"), F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))).alias(n) for k, n in enumerate(names)]
+    keyed = docs.select("*", *key)
+    prints = materialise(fingerprints(keyed.select(*[F.col(n).alias(x) for n, x in zip(names, "ab")], "doc_id", "text"), size, seed), "op8-prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "a", "b")).alias("first")
     stay = prints.groupBy("fp").agg(first).join(roots(prints, radius), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    return rows.join(stay.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
+    kept = keyed.join(stay.select(F.col("first.a").alias(names[0]), F.col("first.b").alias(names[1])), names, "left_semi")
+    if prints.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").take(1):
+        kept = kept.dropDuplicates(names)
+    return kept.select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
