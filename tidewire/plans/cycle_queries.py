@@ -9,6 +9,7 @@ from tidewire.functions import dates, similarity
 from tidewire.operators import decide, duplicates, learn, persist, runs
 from tidewire.runtime import materialise, table
 
+from . import similarity_sql
 from .place_queries import _km
 from .registry import query
 from .views import NOW, view
@@ -71,10 +72,14 @@ def decisions_with_access(spark, sf_dir):
     return out.select(F.when(silent, "SILENT").otherwise(F.col("decision")).alias("decision")).groupBy("decision").agg(F.count("*").alias("n"))
 
 
-@query("duplicates_best")
+_DUPLICATES = similarity_sql.duplicates("v_candidate", "v_event", _km("clat", "clon", "elat", "elon"))
+_OPEN_DUPLICATES = similarity_sql.duplicates("(SELECT * FROM v_candidate)", "(SELECT * FROM v_event WHERE status IN ('ACTIVE', 'UPDATED'))", _km("clat", "clon", "elat", "elon"))
+
+
+@query("duplicates_best", f"WITH {_DUPLICATES} SELECT candidate_id, event_id, round(score, 9) AS score, date_compatible, location_compatible FROM dup")
 def duplicates_best(spark, sf_dir):
-    """The best stored event for every candidate, with its score."""
-    found = duplicates.find(_candidates(spark, sf_dir).filter("start_at is not null"), view(spark, sf_dir, "v_event"))
+    """The best stored event of each candidate that has one of at least the score that matters, the review threshold."""
+    found = duplicates.find(_candidates(spark, sf_dir), view(spark, sf_dir, "v_event"), least=DEFAULT.duplicate_review)
     return found.select("candidate_id", "event_id", F.round("score", 9).alias("score"), "date_compatible", "location_compatible")
 
 
@@ -102,7 +107,11 @@ def name_levenshtein(spark, sf_dir):
     return a.join(b, "k").filter("a < b").select("a", "b", F.round(similarity.levenshtein_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
-@query("name_similarity")
+@query(
+    "name_similarity",
+    f"""WITH n AS (SELECT DISTINCT p_name FROM part), p AS (SELECT a.p_name AS a, b.p_name AS b FROM n a JOIN n b ON left(a.p_name, 1) = left(b.p_name, 1) AND a.p_name < b.p_name),
+        {similarity_sql.composite("p", "s")} SELECT a, b, round(similarity, 9) AS similarity FROM s""",
+)
 def name_similarity(spark, sf_dir):
     """The composite similarity of part names that share a first letter."""
     n = table(spark, sf_dir, "part").select("p_name").distinct()
@@ -120,7 +129,18 @@ def _decided(spark, sf_dir):
     return decide.decide(c, found, _now())
 
 
-@query("decisions_full")
+_MERGED = "d.score >= 9E-1 AND d.date_compatible AND d.location_compatible"
+_FULL = _WATERFALL.replace(
+    f"WHEN len({_DOUBTS}) > 0 THEN",
+    f"""WHEN d.score >= 75E-2 THEN struct_pack(d := CASE WHEN {_MERGED} THEN 'MERGE' ELSE 'REVIEW' END, r := list_append({_DOUBTS}, 'duplicate_candidate_score=' || printf('%.3f', d.score)))
+    WHEN len({_DOUBTS}) > 0 THEN""",
+)
+_DECIDED = f"""{_OPEN_DUPLICATES},
+    judged AS (SELECT c.*, d.event_id, d.score AS dscore, {_FULL} AS w, list_contains(list_transform(({_FULL}).r, lambda x: starts_with(x, 'duplicate_candidate_score=')), true) AS repeats
+               FROM v_candidate c LEFT JOIN dup d ON c.candidate_id = d.candidate_id)"""
+
+
+@query("decisions_full", f"WITH {_DECIDED} SELECT candidate_id, (w).d AS decision, array_to_string((w).r, '; ') AS reasons, CASE WHEN repeats THEN event_id END AS duplicate_of, round(CASE WHEN repeats THEN dscore ELSE confidence END, 6) AS score FROM judged")
 def decisions_full(spark, sf_dir):
     """The waterfall with duplicates: merges and reviews of likely repeats."""
     return _decided(spark, sf_dir).select("candidate_id", "decision", F.array_join("reasons", "; ").alias("reasons"), "duplicate_of", F.round("decision_score", 6).alias("score"))
@@ -141,7 +161,7 @@ def cycle_replay(spark, sf_dir):
     return out.select("candidate_id", "decision", F.array_join("reasons", "; ").alias("reasons"), "duplicate_of", F.round("decision_score", 6).alias("score"))
 
 
-@query("cycle_decisions")
+@query("cycle_decisions", f"WITH {_DECIDED} SELECT source_id, (w).d AS decision, count(*) AS n, count(CASE WHEN repeats THEN event_id END) AS with_duplicate FROM judged GROUP BY source_id, (w).d")
 def cycle_decisions(spark, sf_dir):
     """The flagship: decide all candidates with duplicates, downgrade what cannot be done, count by source."""
     out = persist.downgrade(_decided(spark, sf_dir), view(spark, sf_dir, "v_event"))

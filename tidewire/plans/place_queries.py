@@ -10,6 +10,7 @@ from tidewire.operators import consensus, geoclassify
 from tidewire.runtime import table
 from tidewire.sources import catalogs, providers
 
+from . import similarity_sql
 from .registry import query
 from .text_queries import _LOC
 from .views import view
@@ -109,9 +110,18 @@ def catalog_exact(spark, sf_dir):
     return p.join(geoclassify.from_catalog(found), "key", "left").select("place_id", F.col("matched_catalog_entry").alias("name"), "decision")
 
 
-@query("catalog_matches")
+_NAMES = "(VALUES (0, 0, 'Posadas', 'posadas'), (0, 1, 'Posadas', 'posadas misiones'), (0, 2, 'Posadas', 'posadas misiones'), (1, 0, 'Anfiteatro', 'anfiteatro manuel ramirez'), (1, 1, 'Anfiteatro', 'anfiteatro manuel ramirez'), (2, 0, 'Encarnacion', 'encarnacion'), (3, 0, 'Lejos', 'pasaje nandubay y avenida roque perez')) names(o, k, name, b)"
+
+
+@query(
+    "catalog_matches",
+    f"""WITH keys AS (SELECT DISTINCT {_LOC} AS a FROM v_place WHERE {_LOC} <> ''), p AS (SELECT DISTINCT a, b FROM keys, {_NAMES}), {similarity_sql.fuzzy("p", "f")},
+        s AS (SELECT f.a AS key, name, CASE WHEN f.a = f.b THEN 1E0 ELSE weighted * 0.5::DOUBLE + token_set * 0.3::DOUBLE + token_sort * 0.2::DOUBLE END AS score, f.a = f.b AS exact, o, k FROM f JOIN {_NAMES} ON f.b = names.b),
+        r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY exact DESC, score DESC, o, k) AS n FROM s WHERE score >= 85E-2)
+        SELECT key, name, round(score, 9) AS score, exact FROM r WHERE n = 1""",
+)
 def catalog_matches(spark, sf_dir):
-    """The best catalog name of every text, and its score."""
+    """The best catalog name of every text that has one from the threshold on, and its score."""
     p = view(spark, sf_dir, "v_place").select(F.col("place").alias("text"))
     return geoclassify.match_catalog(p, _places(spark)).select("key", F.col("entry.name").alias("name"), F.round("score", 9).alias("score"), "exact")
 
