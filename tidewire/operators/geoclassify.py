@@ -9,6 +9,7 @@ from tidewire.config import DEFAULT, Settings
 from tidewire.functions import geo
 from tidewire.functions.similarity import with_fuzzy
 from tidewire.functions.text import normalize_location, present
+from tidewire.runtime import materialise
 from tidewire.sources.catalogs import place_names
 
 #: Names and texts up to this long also meet by stretches of two letters.
@@ -165,8 +166,9 @@ def classify(rows: DataFrame, places: DataFrame, answers: DataFrame, s: Settings
     """
     given = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     texts = rows.filter(~given).select("id", original_text().alias("text"), normalize_location(original_text()).alias("key"), queries_of().alias("queries"))
+    texts = materialise(texts, "geo-texts")  # read four times, and costly to make
     found = match_catalog(texts, places)
-    catalog = from_catalog(found, s)
+    catalog = materialise(from_catalog(found, s), "geo-catalog")
     open_ = texts.join(catalog.select("key"), "key", "left_anti").filter("key <> ''")
     asked = open_.select("key", F.posexplode("queries").alias("position", "query")).dropDuplicates(["key", "position"])
     exact = place_names(places).select(F.col("matched_key").alias("key"), "name")
