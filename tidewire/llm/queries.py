@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op7_chat_formatting
 from .decontamination import op3_decontamination
 from .exact_dedup import op5_exact_dedup
+from .infill import OP11_SQL, op11_fill_in_middle
 from .language import op2_language_id
 from .lines import op6_line_dedup
 from .lm import op9_lm_scoring
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_url_filters": op10_url_filters,
+    "op11_fill_in_middle": op11_fill_in_middle,
     "chained_verdicts": chained_verdicts,
 }
 
@@ -109,4 +111,5 @@ ORACLE_SQL = {
                  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
         SELECT nodes.page_id, host, path, rule, coalesce(fits.verdict, CASE WHEN bad.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
         FROM nodes LEFT JOIN fits ON nodes.page_id = fits.page_id LEFT JOIN bad ON nodes.node = bad.node""",
+    "op11_fill_in_middle": OP11_SQL,
 }
