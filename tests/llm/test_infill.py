@@ -34,7 +34,7 @@ def test_against_plain_version(spark, rate, spm_rate):
     docs = spark.createDataFrame(data, "doc_id long, text string, form string, n int")
     got = infill.fill_in_middle(docs, rate, spm_rate)
     back = got.select("doc_id", infill.restore(F.col("output"), F.col("form")).alias("text"))
-    key = lambda r: tuple((x is None, x or 0) for x in r)
+    key = lambda r: tuple((x is None, "" if x is None else x) for x in r)
     want = sorted((plainly(d, t, rate, spm_rate) for d, t, *_ in data), key=key)
     assert sorted((tuple(r) for r in got.collect()), key=key) == want
     assert sorted((tuple(r) for r in back.collect()), key=key) == sorted(((d, t or "") for d, t, *_ in data), key=key)
