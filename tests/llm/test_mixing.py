@@ -129,7 +129,7 @@ def test_mixed_rows(spark):
     plan = mixing.mix(df, carry=["copies"])
     assert plan.columns.count("copies") == 2 and plan.count() == 4
     got = mixing.mixed(df, weights=[1], share=2.0).collect()
-    assert Counter(tuple(r) for r in got) == {(1, "a", "x y", 7): 2, (1, "a", "x y", 8): 2, (None, "b", "q", 9): 2}
+    assert Counter(tuple(r) for r in got) == {(1, "a", "x y", 7): 2, (1, "a", "x y", 8): 2, (None, "b", "q", 9): 2, (3, "b", None, 1): 2}
 
 
 def test_nothing(spark):

@@ -10,6 +10,7 @@ from .language import op2_language_id
 from .lines import op6_line_dedup
 from .lm import op9_lm_scoring
 from .mixing import OP13_SQL, op13_mixing
+from .negatives import OP12_SQL, op12_hard_negatives
 from .packing import op4_best_fit_packing
 from .simhash import op8_simhash
 from .token_files import op1_token_files
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_url_filters": op10_url_filters,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_mixing": op13_mixing,
     "chained_verdicts": chained_verdicts,
 }
@@ -115,4 +117,5 @@ ORACLE_SQL = {
         FROM nodes LEFT JOIN fits ON nodes.page_id = fits.page_id LEFT JOIN bad ON nodes.node = bad.node""",
     "op11_fill_in_middle": OP11_SQL,
     "op13_mixing": OP13_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
