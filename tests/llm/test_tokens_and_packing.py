@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidewire.llm import packing, token_files
+from tidewire.llm import packing, token_files, words
 from tidewire.llm.tokens import Encoder, encoder, vocabulary
 from tidewire.runtime import materialise, scratch
 
@@ -132,3 +133,36 @@ def test_pack_odd_rows_and_sequences(spark, enc):
         ids = [*library(enc, dict((d, t) for d, t, _ in data)[r["doc_id"]]), 0][r["start"] : r["start"] + r["length"]]
         assert whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == ids
     assert placed.agg(F.max("length")).first()[0] <= 256
+
+
+def twins(n):
+    """Two words of n letters whose polynomial hashes agree modulo powers of two, whatever the base."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 128, 1024, 2048, 4096])
+def test_words_of_one_hash_keep_their_ids(enc, n):
+    a, b = twins(n)
+    for texts in ([a, b], [b, a], [f"{a} {b}", f"x {b} {a}"], [b * 3, a * 3]):
+        for e in (Encoder(vocabulary("byte_bpe_50k.json")), enc):
+            assert [x.tolist() for x in e.encode_all(texts)] == [library(enc, t) for t in texts]
+
+
+def test_words_whose_hashes_all_agree(enc, monkeypatch):
+    """Every lookup but the first of its entry goes to the library: nothing rests on the hash."""
+    e = Encoder(vocabulary("byte_bpe_50k.json"))
+    e.value = np.zeros_like(e.value)
+    texts = ["one two six ten", "ten six two one", "abc " * 20 + "abd " * 20, "x" * 1000 + " y"]
+    assert [x.tolist() for x in e.encode_all(texts)] == [library(enc, t) for t in texts]
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(4)
+    found = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 90))) for _ in range(20_000)] + ["a" * k for k in range(1, 200)] + ["aé" * k for k in range(1, 40)] + [w for n in (64, 1024, 4096) for w in twins(n)]
+    h, doc = words.word_hashes(*words.bytes_of(pa.array([" ".join(found), "\t".join(w.upper() if w.isascii() else w for w in found)])))
+    half = len(found)
+    assert len(h) == 2 * half and (h[:half] == h[half:]).all() and doc.tolist() == [0] * half + [1] * half
+    assert len(set(h.tolist())) == len(set(found))

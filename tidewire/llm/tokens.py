@@ -25,6 +25,8 @@ SLOT_BITS = 21
 PART_CHARS = 1 << 19
 #: Longer texts are cut where a pre-token ends.
 SLICE_CHARS = 1 << 20
+#: Longer pre-tokens are not cached; the cache also starts anew when its words have this many characters.
+LONG_CHARS, CACHE_CHARS = 128, 1 << 24
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95
 
@@ -74,8 +76,8 @@ class Encoder:
     """Ids as Tokenizer.encode(text, add_special_tokens=False) gives them.
 
     Texts that hold an added token's string or characters that only the library classes, and
-    tokenizers of any other kind, go through the library whole. Pre-tokens are told apart by a
-    64-bit hash.
+    tokenizers of any other kind, go through the library whole. Pre-tokens are looked up by a 64-bit
+    hash and compared character by character; what differs from its entry goes through the library.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -111,6 +113,8 @@ class Encoder:
         self.entry = np.zeros(1 << SLOT_BITS, np.int32)
         self.begin, self.length, self.n = np.zeros(self.room, np.int64), np.zeros(self.room, np.int32), 0
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.spelt, self.size, self.spelling = np.zeros(self.room, np.int64), np.zeros(self.room, np.int32), np.zeros(1 << 20, np.uint16)  # the words' characters
+        self.spelt_used = 0
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as an array of uint32; empty for null."""
@@ -174,14 +178,33 @@ class Encoder:
         np.cumsum(self.value[points] * self.powers[: len(points)], out=total[1:])
         hashes = (total[stops] - total[starts]) * self.inverse[starts]
         hashes ^= (stops - starts).astype(np.uint64) * MIX
-        hashes[hashes == 0] = 1
-        at = self._find(joined, hashes, starts, stops)
-        many = self.length[at]
+        hashes[hashes < 2] += np.uint64(2)
+        long = stops - starts > LONG_CHARS
+        hashes[long] = 1
+        at = self._find(joined, points, hashes, starts, stops)
+        many, begin, ids = self.length[at], self.begin[at], self.ids
+        odd = np.flatnonzero(long | self._differ(points[kind != BORDER].astype(np.uint16), at, starts, stops))
+        if len(odd):  # long ones, and words whose hash another word has
+            own = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([joined[a:b] for a, b in zip(starts[odd].tolist(), stops[odd].tolist())], add_special_tokens=False)]
+            sizes = np.array([len(x) for x in own], np.int64)
+            begin[odd], many[odd] = len(ids) + np.cumsum(sizes) - sizes, sizes
+            ids = np.concatenate([ids, *own])
         upto = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
-        flat = self.ids[np.repeat(self.begin[at] - upto[:-1], many) + np.arange(upto[-1])]
+        flat = ids[np.repeat(begin - upto[:-1], many) + np.arange(upto[-1])]
         cuts = upto[first].tolist()
         return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def _differ(self, points: np.ndarray, at: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Which pre-tokens are spelt differently from their entries; points are their characters without borders."""
+        size = (stops - starts).astype(np.int32)
+        upto = np.cumsum(size, dtype=np.int32)
+        there = np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)
+        there += np.repeat((self.spelt[at] - (upto - size)).astype(np.int32), size)
+        wrong = np.flatnonzero(self.spelling.take(there, mode="clip") != points)
+        out = self.size[at] != size
+        out[np.searchsorted(upto, wrong, side="right")] = True
+        return out
+
     def _starts(self, joined: str, points: np.ndarray, kind: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Where pre-tokens start; a border between texts counts as one."""
         new = np.ones(len(kind), bool)
@@ -203,18 +226,20 @@ class Encoder:
                     break
         return np.flatnonzero(new)
 
-    def _find(self, joined: str, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """The cache entry of each pre-token; what is missing is learnt first."""
+    def _find(self, joined: str, points: np.ndarray, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The cache entry of each pre-token; what is missing is learnt first. Hash 1 stands for long ones, which have an empty entry."""
         at, open_ = self._probe(hashes)
         if len(open_):
             new, where = np.unique(hashes[open_], return_index=True)
-            if self.n + len(new) > self.room:
+            if self.n + len(new) > self.room or self.spelt_used > CACHE_CHARS:
                 new, where = np.unique(hashes, return_index=True)
                 open_ = np.arange(len(hashes))
                 self.room = max(self.room, len(new))
                 self._forget()
             where = open_[where]
-            self._learn(new, [joined[a:b] for a, b in zip(starts[where].tolist(), stops[where].tolist())])
+            begin, end = starts[where], np.where(new == 1, starts[where], stops[where])
+            self._spell(points, begin, end)
+            self._learn(new, [joined[a:b] for a, b in zip(begin.tolist(), end.tolist())])
             at, open_ = self._probe(hashes)
         return at
 
@@ -234,6 +259,17 @@ class Encoder:
             todo = todo[seen[todo] != hashes[todo]]
         return at, np.concatenate(missing) if missing else np.zeros(0, np.int64)
 
+    def _spell(self, points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        """Keep the characters of words that are learnt next."""
+        size = stops - starts
+        upto = np.cumsum(size)
+        while self.spelt_used + upto[-1] > len(self.spelling):
+            self.spelling = np.concatenate([self.spelling, np.zeros_like(self.spelling)])
+        self.spelling[self.spelt_used : self.spelt_used + upto[-1]] = points[np.arange(upto[-1]) + np.repeat(starts - upto + size, size)]
+        own = np.arange(self.n, self.n + len(size))
+        self.spelt[own], self.size[own] = self.spelt_used + upto - size, size
+        self.spelt_used += int(upto[-1])
+
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         together = [bool(self.joins(w)) for w in words]
         ids: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
