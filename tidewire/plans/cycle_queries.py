@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewire.config import DEFAULT
 from tidewire.functions import dates, similarity
 from tidewire.operators import decide, duplicates, learn, persist, runs
-from tidewire.runtime import materialise, table
+from tidewire.runtime import materialise, spread, table
 
 from . import similarity_sql
 from .place_queries import _km
@@ -79,7 +79,7 @@ _OPEN_DUPLICATES = similarity_sql.duplicates("(SELECT * FROM v_candidate)", "(SE
 @query("duplicates_best", f"WITH {_DUPLICATES} SELECT candidate_id, event_id, round(score, 9) AS score, date_compatible, location_compatible FROM dup")
 def duplicates_best(spark, sf_dir):
     """The best stored event of each candidate that has one of at least the score that matters, the review threshold."""
-    found = duplicates.find(_candidates(spark, sf_dir), view(spark, sf_dir, "v_event"), least=DEFAULT.duplicate_review)
+    found = duplicates.find(_candidates(spark, sf_dir), view(spark, sf_dir, "v_event"))
     return found.select("candidate_id", "event_id", F.round("score", 9).alias("score"), "date_compatible", "location_compatible")
 
 
@@ -122,10 +122,10 @@ def name_similarity(spark, sf_dir):
 
 def _decided(spark, sf_dir):
     """Only candidates that no other rule rejects are looked up, and only repeats that matter are kept."""
-    c = materialise(_candidates(spark, sf_dir), "candidates")
+    c = materialise(spread(_candidates(spark, sf_dir), "candidate_id"), "candidates")
     open_ = decide.decide(c, None, _now()).filter("decision <> 'REJECT'").select("candidate_id")
     events = view(spark, sf_dir, "v_event").filter("status in ('ACTIVE', 'UPDATED')")
-    found = duplicates.find(c.join(open_, "candidate_id", "left_semi"), events, least=DEFAULT.duplicate_review)
+    found = duplicates.find(c.join(open_, "candidate_id", "left_semi"), events)
     return decide.decide(c, found, _now())
 
 

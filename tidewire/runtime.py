@@ -61,6 +61,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt over as many tasks as a shuffle has: for few rows that much is made of, which would else be one task's."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and bound their Arrow batches (two settings of the session, which stay)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
