@@ -1,11 +1,13 @@
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewire.config import Settings, split_list
-from tidewire.functions import similarity
-from tidewire.operators import consensus, decide, duplicates, learn, persist
+from tests import plain_replay
+from tidewire.functions import similarity, text
+from tidewire.operators import consensus, decide, duplicates, learn, persist, replay
 
 
 
@@ -64,52 +66,75 @@ def test_duplicates(spark, change, decision):
     assert decide.decide(c, found, now()).first()["decision"] == decision
 
 
-def test_blocking_loses_nothing(spark):
-    """Against all pairs: every pair that scores 0.75 or more is found."""
-    titles = ["Festival del Litoral", "Festival Litoral", "Noche de Jazz", "Noche de jazz en Posadas", "Feria"]
-    cs = [{"candidate_id": f"{i}{d}", "title": t, "start_at": datetime(2026, 8, d, 20), "latitude": -27.3671 + i / 100} for i, t in enumerate(titles) for d in (10, 12, 13, 20)]
-    c = rows(spark, *cs)
-    e = c.select(F.col("candidate_id").alias("event_id"), *duplicates.COMPARED)
-    left, right = duplicates._sides(c, "c", "candidate_id"), duplicates._sides(e, "e", "event_id")
-    every = duplicates.score_pairs(left.crossJoin(right)).filter("score >= 0.75")
-    blocked = duplicates.score_pairs(duplicates.near_pairs(c, e)).filter("score >= 0.75")
-    key = lambda df: sorted((r["c_id"], r["e_id"], round(r["score"], 9)) for r in df.collect())
-    assert key(every) == key(blocked) and len(key(every)) > 20
+def batch_of(seed, n, days=6):
+    """Candidates with near titles, venues, dates and places, and fields that are missing."""
+    rng = random.Random(seed)
+    titles = ["Festival del Litoral", "Festival Litoral", "festival del litoral!", "Noche de Jazz", "Noche de jazz en Posadas", "Feria", "Ferias", "Feria del libro", "", "¡!"]
+    pick = lambda *xs: rng.choice(xs)
+    out = []
+    for i in range(n):
+        out.append({
+            "candidate_id": f"{i:03d}", "source_id": pick("s", "t"), "title": pick(*titles), "venue_name": pick("Sala", "Sala Norte", "sala", None, ""),
+            "address": pick(None, None, "", "Calle 1", "Norte", "Calle 12"), "start_at": datetime(2026, 8, 10 + rng.randrange(days), pick(0, 3, 12, 20), pick(0, 30)),
+            "latitude": pick(None, -27.3671, -27.3671, -27.3690, -27.3802, -27.4), "longitude": pick(None, -55.8961, -55.8961, -55.8975, -55.9), "confidence": pick(0.6, 0.9, 0.9, 0.9),
+        })
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_find_loses_nothing(spark, seed):
+    """Against all pairs: each candidate's best event, where it scores 0.75 or more."""
+    c, e = rows(spark, *batch_of(seed, 60)), rows(spark, *batch_of(seed + 50, 60, 20)).select(F.concat(F.lit("e"), "candidate_id").alias("event_id"), *duplicates.COMPARED)
+    got = {r["candidate_id"]: r for r in duplicates.find(c, e).collect()}
+    events, n = sorted((r.asDict() for r in e.collect()), key=lambda x: x["event_id"]), 0
+    for r in c.collect():
+        scored = [(m, x["event_id"]) for x in events if (m := plain_replay.compare(r.asDict(), x, Settings())) and m[0] >= 0.75 - 1e-9]
+        top = max((m[0] for m, _ in scored), default=None)
+        if top is None:
+            assert r["candidate_id"] not in got
+            continue
+        n += 1
+        (score, dated, placed), name = next((m, k) for m, k in scored if m[0] >= top - 1e-12)
+        g = got[r["candidate_id"]]
+        assert g["score"] == pytest.approx(score) and (g["event_id"], g["date_compatible"], g["location_compatible"]) == (name, dated, placed)
+    assert n > 15
+
+
+def test_bound_of_titles_holds(spark):
+    """No pair is more alike than its lengths, letters and words allow."""
+    rng = random.Random(8)
+    words = ["feria", "ferias", "de", "la", "el", "jazz", "ñandú", "x", "noche", "9", "festival", "niño"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 7))) for _ in range(60)] + ["".join(rng.choices("abcdé ", k=rng.randrange(20))) for _ in range(40)]
+    df = spark.createDataFrame([(a, b) for a in texts for b in rng.sample(texts, 20)], "a string, b string").select(text.match_text(F.col("a")).alias("a"), text.match_text(F.col("b")).alias("b"))
+    got = df.select(similarity.composite(similarity.fuzzy("a", "b"), F.col("a"), F.col("b")).alias("s"), similarity.at_most(similarity.features(F.col("a")), similarity.features(F.col("b"))).alias("m")).collect()
+    assert all(r["s"] <= r["m"] + 1e-9 for r in got) and sum(r["m"] < 0.6 for r in got) > 200
 
 
 def test_replay_sees_its_own_batch(spark):
     batch = rows(spark, {"candidate_id": "a", "source_id": "1"}, {"candidate_id": "b", "source_id": "2"}, {"candidate_id": "c", "source_id": "3", "title": "Otra"}, {"candidate_id": "d", "source_id": "0", "is_event": False})
     first = decide.decide(batch, None, now())
-    out = {r["candidate_id"]: (r["decision"], r["duplicate_of"]) for r in decide.replay(first, event(spark).limit(0), ["source_id"]).collect()}
+    out = {r["candidate_id"]: (r["decision"], r["duplicate_of"]) for r in replay.replay(first, event(spark).limit(0), ["source_id"]).collect()}
     assert out == {"a": ("ACCEPT", None), "b": ("MERGE", "new:a"), "c": ("ACCEPT", None), "d": ("REJECT", None)}
 
 
-def test_replay_agrees_with_a_plain_loop(spark):
-    """Component by component gives what one loop over all candidates gives."""
-    titles = ["Festival del Litoral", "Festival Litoral", "Noche de Jazz", "Feria"]
-    cs = [{"candidate_id": f"{i:02d}", "source_id": "s", "title": titles[i % 4], "venue_name": ["Sala", "Sala Norte"][i % 2], "address": [None, "Calle 1"][i % 2], "start_at": datetime(2026, 8, 10 + i % 5, 20), "latitude": None if i % 3 == 0 else -27.3671} for i in range(16)]
-    first = decide.decide(rows(spark, *cs), None, now())
-    got = {r["candidate_id"]: (r["decision"], r["duplicate_of"]) for r in decide.replay(first, event(spark), ["source_id"]).collect()}
-    s = Settings()
-    universe = [("e1", event(spark).first().asDict())]
-    want = {}
-    for r in map(lambda x: x.asDict(), sorted(first.collect(), key=lambda x: x["candidate_id"])):
-        best = None
-        for name, e in universe:
-            m = decide.compare(r, e, s)
-            if m and (best is None or m[0] > best[0]):
-                best = (m[0], name, m[1], m[2])
-        decision, of = r["decision"], None
-        if best and best[0] >= 0.75:
-            decision, of = ("MERGE" if best[0] >= 0.9 and best[2] and best[3] else "REVIEW"), best[1]
-        if decision == "ACCEPT":
-            universe.append((f"new:{r['candidate_id']}", r))
-        elif decision == "MERGE":
-            t = next(e for n, e in reversed(universe) if n == of)
-            universe.append((of, {**t, **{k: t[k] if t[k] not in (None, "") else r[k] for k in ("address", "latitude", "longitude")}}))
-        want[r["candidate_id"]] = (decision, of)
-    assert got == want
-    assert {"MERGE", "ACCEPT"} <= {d for d, _ in want.values()}
+@pytest.mark.parametrize("seed, n, stored", [(1, 70, 6), (2, 70, 25)])
+def test_replay_agrees_with_a_plain_loop(spark, seed, n, stored):
+    """Rounds over all candidates at once give what one loop over them gives."""
+    first = decide.decide(rows(spark, *batch_of(seed, n)), None, now()).cache()
+    events = rows(spark, *batch_of(seed + 90, stored), {"candidate_id": "zz"}).select(F.concat(F.lit("e"), "candidate_id").alias("event_id"), *duplicates.COMPARED)
+    told = {}
+    got = {r["candidate_id"]: (r["decision"], r["duplicate_of"], r["decision_score"]) for r in replay.replay(first, events, ["source_id"], told=told).collect()}
+    mine = sorted((r.asDict() for r in first.collect() if r["decision"] != "REJECT"), key=lambda r: (r["source_id"], r["candidate_id"]))
+    want = plain_replay.loop(mine, [r.asDict() for r in events.collect()])
+    assert {k: got[k][:2] for k in want} == {k: v[:2] for k, v in want.items()}
+    assert all(got[k][2] == pytest.approx(v[2]) for k, v in want.items() if v[1])
+    kinds = [d for d, *_ in want.values()]
+    assert kinds.count("ACCEPT") > 3 and kinds.count("MERGE") >= min(stored, 4) and told["rounds"] > 1
+
+
+def test_replay_of_nothing(spark):
+    first = decide.decide(rows(spark, {}).limit(0), None, now())
+    assert replay.replay(first, event(spark), ["source_id"]).count() == 0
 
 
 def test_consensus(spark):

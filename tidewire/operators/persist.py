@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.text import slug
 
-from .decide import MERGEABLE
-
 EVENT = ("title", "description", "start_at", "end_at", "recurrence_text", "venue_name", "address", "latitude", "longitude", "price_text", "category")
+#: What a merge fills in where it is missing.
+MERGEABLE = ("description", "end_at", "address", "latitude", "longitude", "price_text", "category", "recurrence_text")
 
 
 def _filled(c: Column) -> Column:

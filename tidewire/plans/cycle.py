@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.config import DEFAULT, Settings
-from tidewire.operators import collect, decide, extract, geoclassify, learn, persist, runs
+from tidewire.operators import collect, decide, extract, geoclassify, learn, persist, replay, runs
 from tidewire.runtime import materialise
 from tidewire.sources import catalogs, feeds
 
@@ -59,7 +59,7 @@ def run_cycle(state: State, fetched: DataFrame, extractor: Callable[[str, str],
     located = materialise(located, "cycle-located")
     first = materialise(decide.decide(located, None, now, None, s), "cycle-first")
     events = state.events.withColumn("latitude", F.col("latitude").cast("double")).withColumn("longitude", F.col("longitude").cast("double"))
-    final = decide.replay(first, catalogs.open_events(events), place + ["event_ordinal"], s)
+    final = replay.replay(first, catalogs.open_events(events), place + ["event_ordinal"], s)
     of = F.when(F.col("duplicate_of").startswith("new:"), event_id_of(F.substring("duplicate_of", 5, 64))).otherwise(F.col("duplicate_of"))
     results = first.drop("decision", "reasons", "duplicate_of", "decision_score").join(final.withColumn("duplicate_of", of), "candidate_id")
     results = materialise(results, "cycle-results")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewire.config import DEFAULT
 from tidewire.functions import dates, similarity
-from tidewire.operators import decide, duplicates, learn, persist, runs
+from tidewire.operators import decide, duplicates, learn, persist, replay, runs
 from tidewire.runtime import materialise, spread, table
 
 from . import similarity_sql
@@ -151,7 +151,7 @@ def _replayed(spark, sf_dir):
     c = _candidates(spark, sf_dir)
     events = view(spark, sf_dir, "v_event").filter("status in ('ACTIVE', 'UPDATED')").withColumn("latitude", F.col("latitude").cast("double")).withColumn("longitude", F.col("longitude").cast("double"))
     first = decide.decide(c, None, _now())
-    return first, decide.replay(first, events, ["source_id"])
+    return first, replay.replay(first, events, ["source_id"])
 
 
 @query("cycle_replay")
