@@ -3,10 +3,13 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidewire import cli
 from tidewire.plans import cycle
 from tidewire.sources import catalogs, providers
+from tidewire.store import Lock
 
 RSS = "<rss><channel>{}</channel></rss>"
 ITEM = "<item><title>{}</title><link>https://n{}.example.com/{}</link><description>{}</description></item>"
@@ -61,3 +64,30 @@ def test_cycle_and_rerun(spark):
     over = cycle.run_cycle(again.state, fetched(spark), model, places, answers, later)
     assert over.logs["archived"].first()["events_archived"] == 1
     assert over.state.events.first()["status"] == "ARCHIVED" and over.state.events.first()["start_at"] == datetime(2026, 8, 20, 20)
+
+
+def test_single_cycle_command(spark, tmp_path, capsys, monkeypatch):
+    """Seed, one cycle, the same again, and one that breaks off: the store keeps its last whole version."""
+    store = f"{tmp_path}/store"
+    entries = [{"name": n, "base_url": f"https://{n}.example.com/feed", "adapter_type": "rss", "reliability_score": 0.6, "active": True} for n in ("n1", "n2")]
+    (tmp_path / "sources.json").write_text(json.dumps(entries))
+    (tmp_path / "places.json").write_text(json.dumps([{"name": "Anfiteatro", "normalized_name": "anfiteatro manuel ramirez", "city": "Posadas", "state": "Misiones", "latitude": -27.36, "longitude": -55.89, "kind": "venue"}]))
+    cli.main(["seed", "--catalog", f"{tmp_path}/sources.json", "--store", store], spark)
+    ids = sorted(r["source_id"] for r in cli.stored(spark, store)[0].collect())
+    (tmp_path / "fetched").mkdir()
+    (tmp_path / "fetched/a.json").write_text("\n".join(json.dumps({"source_id": s, "body": RSS.format(ITEM.format(f"t{k}", k, k, "x"))}) for k, s in enumerate(ids)))
+    args = ["cycle", "--store", store, "--fetched", f"{tmp_path}/fetched", "--catalog", f"{tmp_path}/places.json", "--extractor", "tests.test_cycle:model", "--now", "2026-08-01 00:00:00"]
+    assert cli.main(args, spark) == 0 and cli.main(args, spark) == 0
+    said = capsys.readouterr().out.splitlines()
+    assert said[1] == "COMPLETED version=1 accepted=1 merged=1 reviewed=0 rejected=0" and said[2].startswith("COMPLETED version=2 accepted=0 merged=0")
+    tables, last, versions = cli.state(spark, store)
+    assert last == 2 and tables["events"].count() == 1 and tables["links"].count() == 2 and versions.read(1, "log_decisions").count() == 2
+    lock = Lock(spark, f"{store}/{cli.LOCK}")
+    assert lock.take("other") and cli.main(args, spark) == 1 and lock.release("other")
+    monkeypatch.setattr(cli.cycle, "run_cycle", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        cli.main(args, spark)
+    assert cli.state(spark, store)[1] == 2 and lock.holder() is None
+    cli.main(["empty", "--store", store], spark)
+    tables, last, versions = cli.state(spark, store)
+    assert last == 3 and tables["events"].count() == 0 and versions.read(2, "events").count() == 1

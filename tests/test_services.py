@@ -12,6 +12,7 @@ from tidewire.functions import similarity, urls
 from tidewire.functions.text import normalize_location
 from tidewire.operators import consensus, geoclassify, runs
 from tidewire.sources import clients, feeds, providers, resilience
+from tidewire.store import Lock
 from tidewire.streaming import cycle
 
 
@@ -83,10 +84,13 @@ def test_requests_agree(spark):
 
 
 def test_open_run(spark):
-    log = spark.createDataFrame([("a", "RUNNING")], "execution_id string, status string")
-    with pytest.raises(runs.AlreadyRunning):
-        runs.open_run(log, "b", "manual", F.current_timestamp())
-    assert runs.open_run(log.limit(0), "b", "manual", F.current_timestamp()).first()["execution_id"] == "b"
+    lock = Lock(spark, runtime.scratch(spark, "lock"))
+    run = runs.open_run(lock, "a", "schedule", F.current_timestamp())
+    with pytest.raises(runs.AlreadyRunning, match="a"):
+        runs.open_run(lock, "b", "manual", F.current_timestamp())
+    assert runs.close_run(lock, run, F.current_timestamp()).first()["status"] == "COMPLETED"
+    assert runs.open_run(lock, "b", "manual", F.current_timestamp()).first()["execution_id"] == "b"
+    assert runs.close_run(lock, run, F.current_timestamp(), "FAILED", "x").first()["error_message"] == "x" and lock.holder() == "b"
 
 
 def test_told_numbers(spark):
@@ -101,17 +105,17 @@ def test_commands(spark, tmp_path, capsys):
     args = ["seed", "--catalog", f"{tmp_path}/c.json", "--store", store]
     assert cli.main([*args, "--dry-run"], spark) == 0 and not (tmp_path / "store").exists()
     cli.main(args, spark)
-    assert [(r["name"], r["canonical_base_url"]) for r in spark.read.parquet(store).collect()] == [("A2", "https://a.example.com/feed")]
-    first = spark.read.parquet(store).first()["source_id"]
+    assert [(r["name"], r["canonical_base_url"]) for r in cli.stored(spark, store)[0].collect()] == [("A2", "https://a.example.com/feed")]
+    first = cli.stored(spark, store)[0].first()["source_id"]
     entries[2]["name"] = "A3"
     (tmp_path / "c.json").write_text(json.dumps(entries[2:]))
     cli.main(args, spark)
-    assert [(r["name"], r["source_id"]) for r in spark.read.parquet(store).collect()] == [("A3", first)]
+    assert [(r["name"], r["source_id"]) for r in cli.stored(spark, store)[0].collect()] == [("A3", first)]
     cli.main(["repair", "--store", store, "--dry-run"], spark)
     cli.main(["repair", "--store", store], spark)
-    assert spark.read.parquet(store).count() == 1
+    assert cli.stored(spark, store)[0].count() == 1
     cli.main(["empty", "--store", store], spark)
-    assert spark.read.parquet(store).count() == 0
+    assert cli.stored(spark, store)[0].count() == 0
     said = capsys.readouterr().out.splitlines()
     assert said[0].startswith("DRY_RUN configured=3") and said[1].startswith("BOOTSTRAP configured=3 inserted=1 updated=1") and said[2].startswith("BOOTSTRAP configured=1 inserted=0 updated=1")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.store import Lock
+
 COUNTERS = {"events_accepted": "ACCEPT", "events_merged": "MERGE", "events_reviewed": "REVIEW", "events_rejected": "REJECT"}
 
 
@@ -12,11 +14,17 @@ class AlreadyRunning(Exception):
     """Another cycle holds the lock."""
 
 
-def open_run(runs: DataFrame, execution_id: str, triggered_by: str, now: Column) -> DataFrame:
-    """The row of a new run; fails while one is running."""
-    if running(runs).take(1):
-        raise AlreadyRunning
-    return runs.sparkSession.range(1).select(F.lit(execution_id).alias("execution_id"), F.lit("RUNNING").alias("status"), F.lit(triggered_by).alias("triggered_by"), now.alias("started_at"))
+def open_run(lock: Lock, execution_id: str, triggered_by: str, now: Column) -> DataFrame:
+    """The row of a new run, which holds the lock from here on; fails while another run holds it, on whichever driver."""
+    if not lock.take(execution_id):
+        raise AlreadyRunning(lock.holder())
+    return lock.spark.range(1).select(F.lit(execution_id).alias("execution_id"), F.lit("RUNNING").alias("status"), F.lit(triggered_by).alias("triggered_by"), now.alias("started_at"))
+
+
+def close_run(lock: Lock, run: DataFrame, now: Column, ended: str = "COMPLETED", error: str | None = None) -> DataFrame:
+    """The row of a run that ended; its lock is free again, unless a watchdog gave it to another."""
+    lock.release(run.first()["execution_id"])
+    return run.withColumns({"status": F.lit(ended), "finished_at": now, "error_message": F.lit(error).cast("string")})
 
 
 def running(runs: DataFrame) -> DataFrame:

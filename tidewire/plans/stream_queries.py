@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewire.runtime import scratch, table
+from tidewire.sources import landed
 from tidewire.streaming import cycle
 
 from .registry import query
@@ -16,3 +18,29 @@ def streamed_posts(spark, sf_dir):
     """Posts that two runs of the stream over overlapping files store, each once."""
     stored = cycle.ingest_twice(spark, view(spark, sf_dir, "v_raw"))
     return stored.groupBy("source_id").agg(F.count("*").alias("posts"))
+
+
+_PAGES = "SELECT CAST(page_id AS VARCHAR) AS name, CAST(page_id % 50 AS VARCHAR) AS source_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS links FROM pages"
+
+
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("name"), (F.col("page_id") % 50).cast("string").alias("source_id"), "url", F.col("html").alias("body"), "page_id")
+
+
+@query("landed_pages", _PAGES)
+def landed_pages(spark, sf_dir):
+    """All pages, landed in two versions of a folder and read by the source that parses them."""
+    docs, root = _documents(spark, sf_dir), scratch(spark, "landed")
+    landed.land(docs.filter("page_id % 3 = 0"), root)
+    landed.land(docs.filter("page_id % 3 <> 0"), root)
+    return landed.batch(spark, root).select("name", "source_id", "title", "links")
+
+
+@query("landed_stream", _PAGES)
+def landed_stream(spark, sf_dir):
+    """All pages once, by a stream that is started again after more of them have landed."""
+    docs, (root, store, checkpoint) = _documents(spark, sf_dir), (scratch(spark, f"landed-{n}") for n in ("root", "store", "checkpoint"))
+    for part in ("page_id % 3 = 0", "page_id % 3 <> 0"):
+        landed.land(docs.filter(part), root)
+        landed.stream(spark, root).writeStream.format("parquet").option("path", store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(store).select("name", "source_id", "title", "links")
