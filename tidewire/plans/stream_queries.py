@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewire.config import Settings
 from tidewire.runtime import scratch, table
 from tidewire.sources import landed
-from tidewire.streaming import cycle
+from tidewire.streaming import cycle, memory
 
 from .registry import query
 from .text_queries import _HASH
@@ -44,3 +45,52 @@ def landed_stream(spark, sf_dir):
         landed.land(docs.filter(part), root)
         landed.stream(spark, root).writeStream.format("parquet").option("path", store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(store).select("name", "source_id", "title", "links")
+
+
+def _asked(rows: str) -> str:
+    """CTEs that end in `asked` (key, number): rows that found their key unknown, by following from each to the first after its end.
+
+    rows has key, number, at_us, life_us; times of a key differ.
+    """
+    return f"""WITH RECURSIVE r AS ({rows}),
+        next AS (SELECT key, number, first_value(number) OVER (PARTITION BY key ORDER BY at_us RANGE BETWEEN life_us FOLLOWING AND UNBOUNDED FOLLOWING) AS then FROM r),
+        asked AS (SELECT key, arg_min(number, at_us) AS number FROM r GROUP BY key UNION ALL SELECT next.key, next.then FROM asked JOIN next ON asked.key = next.key AND asked.number = next.number WHERE next.then IS NOT NULL)"""
+
+
+def _worked_off(spark, rows, at: str, parts: int, stream_of):
+    """Land rows in `parts` runs of time, start the stream anew after each, and return all that it stored."""
+    landing, store, checkpoint = (scratch(spark, f"memory-{n}") for n in ("landing", "store", "checkpoint"))
+    low, high = rows.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
+    part = F.floor((F.unix_micros(at) - (low or 0)) * parts / ((high or 0) - (low or 0) + 1))
+    for k in range(parts):
+        rows.filter(part == k).write.mode("append").parquet(landing)
+        stream_of(spark.readStream.schema(rows.schema).parquet(landing)).writeStream.format("parquet").option("path", store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(store)
+
+
+#: Found places are kept for three days, misses for an hour.
+_CACHE = Settings(cache_hours=72)
+
+
+@query(
+    "cached_lookups",
+    f"""{_asked(f"SELECT CAST(user_id AS VARCHAR) AS key, event_id AS number, epoch_us(ts) AS at_us, CASE event_type WHEN 'error' THEN {_CACHE.cache_negative_hours} ELSE {_CACHE.cache_hours} END * 3600000000 AS life_us FROM events")}
+    SELECT r.key, r.number, asked.number IS NULL AS known FROM r LEFT JOIN asked ON r.key = asked.key AND r.number = asked.number""",
+)
+def cached_lookups(spark, sf_dir):
+    """Lookups of a stream that a cache answers: answers live for days, misses for an hour."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    life = F.when(F.col("event_type") == "error", _CACHE.cache_negative_hours).otherwise(_CACHE.cache_hours) * 3600
+    found = _worked_off(spark, rows, "ts", 3, lambda s: memory.remember(s, F.col("user_id"), "ts", F.col("event_id"), life))
+    return found.select("key", "number", "known")
+
+
+@query(
+    "first_seen_posts",
+    f"""{_asked(f"SELECT {_HASH} AS key, min(ordinal) AS number, epoch_us(TIMESTAMP '2026-01-01 00:00:00') + (ordinal % 5000) * 60000000 AS at_us, CAST(36 * 3600000000 AS BIGINT) AS life_us FROM v_raw GROUP BY ALL")}
+    SELECT key, number FROM asked""",
+)
+def first_seen_posts(spark, sf_dir):
+    """Posts whose content a stream had not seen for a day and a half."""
+    rows = view(spark, sf_dir, "v_raw").withColumn("fetched_at", F.timestamp_micros(F.unix_micros(F.lit("2026-01-01 00:00:00").cast("timestamp")) + F.col("ordinal") % 5000 * 60_000_000))
+    return _worked_off(spark, rows, "fetched_at", 3, lambda s: memory.first_seen(s, 36)).select("key", "number")

@@ -58,11 +58,6 @@ def run_available(posts: DataFrame, store: str, checkpoint: str, then: Callable[
     query.awaitTermination()
 
 
-def first_seen(posts: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The stateful form: each (source_id, content_hash) once within the watermark of fetched_at."""
-    return posts.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["source_id", "content_hash"])
-
-
 def ingest_twice(spark: SparkSession, posts: DataFrame) -> DataFrame:
     """Land posts in two overlapping parts that together hold all, run the stream after each, and return what is stored."""
     landing, store, checkpoint = (scratch(spark, f"stream-{n}") for n in ("landing", "store", "checkpoint"))
