@@ -2,89 +2,77 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.config import DEFAULT, Settings
+from tidewire.functions.geo import haversine_km
+
 
-OUT = "query string, place int, provider string, display_name string, latitude double, longitude double, score double, provider_count int, candidate_count int, providers string, min_latitude double, max_latitude double, min_longitude double, max_longitude double, max_distance_m double, consensus boolean"
-EARTH_M = 6_371_000.0
+def _meters(a: Column, b: Column) -> Column:
+    return haversine_km(a["latitude"], a["longitude"], b["latitude"], b["longitude"]) * 1000
 
 
-def distances(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    """All distances between points in metres."""
-    a, b = np.radians(lat), np.radians(lon)
-    h = np.sin((a[:, None] - a[None, :]) / 2) ** 2 + np.cos(a)[:, None] * np.cos(a)[None, :] * np.sin((b[:, None] - b[None, :]) / 2) ** 2
-    return 2 * EARTH_M * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
+def clusters(points: Column, limit: float, kind: str) -> Column:
+    """An array of points (of the type `kind`) as an array of clusters: in their order each joins the first that has a member within the limit."""
 
+    def join(found: Column, x: Column) -> Column:
+        near = F.transform(found, lambda c: F.exists(c, lambda m: F.coalesce(_meters(m, x) <= limit, F.lit(False))))
+        at = F.array_position(near, F.lit(True))
+        joined = F.transform(found, lambda c, k: F.when(k == at - 1, F.concat(c, F.array(x))).otherwise(c))
+        return F.when(at == 0, F.concat(found, F.array(F.array(x)))).otherwise(joined)
 
-def clusters(d: np.ndarray, limit: float) -> list[list[int]]:
-    """Points in their order each join the first cluster that has a member within the limit."""
-    label = np.full(len(d), -1)
-    many = 0
-    for k in range(len(d)):
-        near = label[:k][d[k, :k] <= limit]
-        label[k] = near.min() if len(near) else many
-        many += not len(near)
-    return [np.flatnonzero(label == c).tolist() for c in range(many)]
+    return F.aggregate(points, F.expr(f"cast(array() as array<array<{kind}>>)"), join)
 
 
 def agree(candidates: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Per query (query, provider, ordinal, display_name, latitude, longitude, importance, confidence) its places, best first.
 
-    With one provider its candidates stay as they are. Else candidates are clustered by distance, and if
-    the best cluster holds enough providers closely enough, it alone is returned, at its weighted centre.
-    A query's candidates are few (each provider's limit), so a query is one group.
+    With one provider its candidates stay as they are. Else candidates are clustered by distance, best first, and if
+    the best cluster holds enough providers closely enough, it alone is returned, at its weighted centre. A score of
+    zero counts as none. A point without coordinates is near none. A query's candidates are few (each provider's
+    limit), so a query is one row with an array, and the clusters are a fold over it.
     """
-
-    def of_query(part: pd.DataFrame) -> pd.DataFrame:
-        # A score of zero counts as none.
-        part = part.assign(score=part["confidence"].where(part["confidence"].fillna(0) != 0, part["importance"]).fillna(0.0)).sort_values(["provider", "ordinal"], kind="stable")
-        if part["provider"].nunique() <= 1:
-            rows = [_row(part.iloc[[k]], np.zeros((1, 1)), False) for k in range(len(part))]
-        else:
-            part = part.sort_values("score", ascending=False, kind="stable")
-            d = distances(part["latitude"].to_numpy(), part["longitude"].to_numpy())
-            rows = []
-            for members in clusters(d, s.consensus_meters):
-                own = part.iloc[members]
-                apart = d[np.ix_(members, members)]
-                rows.append(_row(own, apart, own["provider"].nunique() >= s.consensus_providers and apart.max() <= s.consensus_meters))
-            rows.sort(key=lambda r: (r["provider_count"], r["score"], -r["max_distance_m"]), reverse=True)
-            if rows[0]["provider_count"] >= s.consensus_providers and rows[0]["max_distance_m"] <= s.consensus_meters:
-                rows = rows[:1]
-        out = pd.DataFrame(rows)
-        out.insert(0, "place", np.arange(len(out), dtype=np.int32))
-        out.insert(0, "query", part["query"].iloc[0])
-        return out
-
-    return candidates.groupBy("query").applyInPandas(of_query, OUT)
-
-
-def _row(own: pd.DataFrame, apart: np.ndarray, agreed: bool) -> dict:
-    weight = np.where(own["score"] > 0, own["score"], 1.0)
-    best = own.iloc[int(own["score"].to_numpy().argmax())]
-    lat, lon = own["latitude"].to_numpy(), own["longitude"].to_numpy()
-    return {
-        "provider": "consensus" if agreed else best["provider"],
-        "display_name": best["display_name"],
-        "latitude": float((lat * weight).sum() / weight.sum()) if agreed else float(best["latitude"]),
-        "longitude": float((lon * weight).sum() / weight.sum()) if agreed else float(best["longitude"]),
-        "score": float(own["score"].max()),
-        "provider_count": int(own["provider"].nunique()),
-        "candidate_count": len(own),
-        "providers": ",".join(sorted(own["provider"].unique())),
-        "min_latitude": round(float(lat.min()), 6),
-        "max_latitude": round(float(lat.max()), 6),
-        "min_longitude": round(float(lon.min()), 6),
-        "max_longitude": round(float(lon.max()), 6),
-        "max_distance_m": round(float(apart.max()), 1),
-        "consensus": bool(agreed),
-    }
+    point = F.struct("provider", "ordinal", "display_name", F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"), F.coalesce(F.when(F.col("confidence") != 0, F.col("confidence")), F.col("importance"), F.lit(0.0)).cast("double").alias("score"))
+    rows = candidates.select("query", point.alias("x"))
+    kind = rows.schema["x"].dataType.simpleString()
+    by_query = rows.groupBy("query").agg(F.collect_list(F.struct(F.col("x.provider").alias("p"), F.col("x.ordinal").alias("o"), "x")).alias("in_turn"), F.collect_list(F.struct((-F.col("x.score")).alias("s"), F.col("x.provider").alias("p"), F.col("x.ordinal").alias("o"), "x")).alias("by_score"), F.count_distinct("x.provider").alias("many"))
+    alone = F.transform(F.array_sort("in_turn"), lambda e: F.array(e["x"]))
+    grouped = F.when(F.col("many") > 1, clusters(F.transform(F.array_sort("by_score"), lambda e: e["x"]), s.consensus_meters, kind)).otherwise(alone)
+
+    def told(c: Column, k: Column) -> Column:
+        best = F.get(c, F.lit(0))
+        names = F.array_sort(F.array_distinct(F.transform(c, lambda m: m["provider"])))
+        apart = F.coalesce(F.array_max(F.flatten(F.transform(c, lambda a: F.transform(c, lambda b: _meters(a, b))))), F.lit(0.0))
+        weights = F.transform(c, lambda m: F.when(m["score"] > 0, m["score"]).otherwise(1.0))
+        centre = lambda f: F.aggregate(F.zip_with(c, weights, lambda m, w: m[f] * w), F.lit(0.0), lambda a, x: a + x) / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+        agreed = (F.col("many") > 1) & (F.size(names) >= s.consensus_providers) & (apart <= s.consensus_meters)
+        edge = lambda f, which: F.round(which(F.transform(c, lambda m: m[f])), 6)
+        distance = F.round(apart, 1)
+        return F.struct(
+            F.when(F.col("many") > 1, F.struct((-F.size(names)).alias("n"), (-best["score"]).alias("s"), distance.alias("d"), k.alias("k"))).otherwise(F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("d"), k.alias("k"))).alias("rank"),
+            F.when(agreed, "consensus").otherwise(best["provider"]).alias("provider"),
+            best["display_name"].alias("display_name"),
+            F.when(agreed, centre("latitude")).otherwise(best["latitude"]).alias("latitude"),
+            F.when(agreed, centre("longitude")).otherwise(best["longitude"]).alias("longitude"),
+            best["score"].alias("score"),
+            F.size(names).alias("provider_count"),
+            F.size(c).alias("candidate_count"),
+            F.array_join(names, ",").alias("providers"),
+            edge("latitude", F.array_min).alias("min_latitude"),
+            edge("latitude", F.array_max).alias("max_latitude"),
+            edge("longitude", F.array_min).alias("min_longitude"),
+            edge("longitude", F.array_max).alias("max_longitude"),
+            distance.alias("max_distance_m"),
+            agreed.alias("consensus"),
+        )
+
+    told_of = by_query.select("query", "many", grouped.alias("c")).select("query", "many", F.array_sort(F.transform("c", told)).alias("places"))
+    first = F.get("places", F.lit(0))
+    sure = (F.col("many") > 1) & (first["provider_count"] >= s.consensus_providers) & (first["max_distance_m"] <= s.consensus_meters)
+    kept = told_of.select("query", F.when(sure, F.slice("places", 1, 1)).otherwise(F.col("places")).alias("places"))
+    out = kept.select("query", F.posexplode("places").alias("place", "x"))
+    return out.select("query", "place", *[F.col(f"x.{f}").alias(f) for f in ("provider", "display_name", "latitude", "longitude", "score", "provider_count", "candidate_count", "providers", "min_latitude", "max_latitude", "min_longitude", "max_longitude", "max_distance_m", "consensus")])
 
 
 #: The names under which providers' metadata tell of a cluster.

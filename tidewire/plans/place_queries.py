@@ -78,7 +78,36 @@ def provider_decisions(spark, sf_dir):
     return geoclassify.from_candidates(g.drop("query").withColumnRenamed("key", "key").withColumn("query", F.col("key")), none).select(F.replace("key", F.lit("place "), F.lit("q")).alias("query"), "decision", F.round("confidence", 9).alias("confidence"))
 
 
-@query("geo_consensus")
+_METERS = "2 * 6371.0::DOUBLE * asin(sqrt(pow(sin((radians({0}) - radians({2})) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin((radians({3}) - radians({1})) / 2), 2))) * 1000"
+
+
+@query(
+    "geo_consensus",
+    f"""WITH RECURSIVE pts AS (SELECT query, provider, ordinal, display_name, CAST(latitude AS DOUBLE) AS lat, CAST(longitude AS DOUBLE) AS lon, CAST(coalesce(nullif(confidence, 0), importance, 0) AS DOUBLE) AS score FROM v_geo),
+        many AS (SELECT query, count(DISTINCT provider) AS many FROM pts GROUP BY query),
+        ranked AS (SELECT pts.*, many, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN many > 1 THEN -score END, provider, ordinal) AS k FROM pts JOIN many USING (query)),
+        lists AS (SELECT query, many, list(lat ORDER BY k) AS ys, list(lon ORDER BY k) AS xs FROM ranked GROUP BY query, many),
+        fold AS (
+            SELECT query, many, ys, xs, 1 AS k, [0] AS labels FROM lists
+            UNION ALL
+            SELECT query, many, ys, xs, k + 1, list_append(labels, coalesce(CASE WHEN many > 1 THEN list_min(list_transform(list_filter(range(1, k + 1), lambda j: {_METERS.format("ys[j]", "xs[j]", "ys[k + 1]", "xs[k + 1]")} <= 300), lambda j: labels[j])) END, list_max(labels) + 1))
+            FROM fold WHERE k < len(ys)
+        ),
+        labelled AS (SELECT ranked.*, labels[ranked.k] AS label FROM ranked JOIN fold ON ranked.query = fold.query AND fold.k = len(fold.ys)),
+        apart AS (SELECT a.query, a.label, max({_METERS.format("a.lat", "a.lon", "b.lat", "b.lon")}) AS apart FROM labelled a JOIN labelled b ON a.query = b.query AND a.label = b.label GROUP BY a.query, a.label),
+        told AS (
+            SELECT query, label, any_value(many) AS many, arg_min(provider, k) AS provider, arg_min(display_name, k) AS display_name, arg_min(lat, k) AS lat, arg_min(lon, k) AS lon, max(score) AS score,
+                CAST(count(DISTINCT provider) AS INTEGER) AS provider_count, CAST(count(*) AS INTEGER) AS candidate_count, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers,
+                round(min(lat), 6) AS min_latitude, round(max(lat), 6) AS max_latitude, round(min(lon), 6) AS min_longitude, round(max(lon), 6) AS max_longitude,
+                sum(lat * CASE WHEN score > 0 THEN score ELSE 1 END) / sum(CASE WHEN score > 0 THEN score ELSE 1 END) AS mid_lat, sum(lon * CASE WHEN score > 0 THEN score ELSE 1 END) / sum(CASE WHEN score > 0 THEN score ELSE 1 END) AS mid_lon
+            FROM labelled GROUP BY query, label
+        ),
+        judged AS (SELECT told.*, round(apart, 1) AS max_distance_m, many > 1 AND provider_count >= 2 AND apart <= 300 AS consensus FROM told JOIN apart USING (query, label)),
+        placed AS (SELECT *, CAST(row_number() OVER w - 1 AS INTEGER) AS place, many > 1 AND first_value(provider_count) OVER w >= 2 AND first_value(max_distance_m) OVER w <= 300 AS sure
+            FROM judged WINDOW w AS (PARTITION BY query ORDER BY CASE WHEN many > 1 THEN -provider_count END, CASE WHEN many > 1 THEN -score END, CASE WHEN many > 1 THEN max_distance_m END, label))
+        SELECT query, place, CASE WHEN consensus THEN 'consensus' ELSE provider END AS provider, display_name, CASE WHEN consensus THEN mid_lat ELSE lat END AS latitude, CASE WHEN consensus THEN mid_lon ELSE lon END AS longitude, score,
+            provider_count, candidate_count, providers, min_latitude, max_latitude, min_longitude, max_longitude, max_distance_m, consensus FROM placed WHERE NOT sure OR place = 0""",
+)
 def geo_consensus(spark, sf_dir):
     """Clusters of providers' candidates, ranked, or the one that they agree on."""
     return consensus.agree(view(spark, sf_dir, "v_geo"))
@@ -152,14 +181,14 @@ def location_queries(spark, sf_dir):
 
 @query(
     "first_answers",
-    """WITH q AS (SELECT c_custkey % 200 AS key, c_custkey // 200 AS position, 'q' || CAST(c_custkey AS VARCHAR) AS query FROM customer), a AS (SELECT DISTINCT query FROM v_geo WHERE ordinal % 4 = 1)
+    """WITH q AS (SELECT c_custkey % 200 AS key, c_custkey // 200 AS position, 'q' || CAST(c_custkey AS VARCHAR) AS query FROM customer), a AS (SELECT DISTINCT query FROM v_geo)
        SELECT CAST(key AS VARCHAR) AS key, arg_min(q.query, position) AS query FROM q JOIN a ON q.query = a.query GROUP BY key""",
 )
 def first_answers(spark, sf_dir):
     """Of a candidate's queries the first that has an answer."""
     c = table(spark, sf_dir, "customer")
     q = c.select((F.col("c_custkey") % 200).cast("string").alias("key"), F.floor(F.col("c_custkey") / 200).alias("position"), F.concat(F.lit("q"), "c_custkey").alias("query"))
-    answers = view(spark, sf_dir, "v_geo").filter("ordinal % 4 = 1")
+    answers = view(spark, sf_dir, "v_geo")
     return geoclassify.first_answers(q, answers).select("key", "query").distinct()
 
 
