@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import dates, text, urls
+from tidewire.operators import extract
+from tidewire.sources import feeds
 
 
 def one(spark, column, **values):
@@ -93,3 +95,24 @@ def test_texts(spark):
     assert one(spark, text.infer_venue(F.col("t")), t="La obra se presentará en el Teatro, a las 8") == "Teatro"
     assert one(spark, text.infer_address(F.col("t")), t="Dirección: Colón 123,\notra") == "Colón 123"
     assert one(spark, text.strip_fence(F.col("t")), t='```json\n{"a": 1}\n```') == '{"a": 1}'
+
+
+def test_clocks_keep_the_zone_of_the_post(spark):
+    """22:30 on the 31st at -03:00 is the next day, and month, in UTC; the post's own day counts."""
+    feed = "<rss><channel><item><title>Recital</title><link>l</link><pubDate>{}</pubDate><description>{}</description></item></channel></rss>"
+    said = [
+        ("west", "Fri, 31 Jul 2026 22:30:00 -0300", "este viernes a las 21:30", datetime(2026, 8, 1, 0, 30)),
+        ("utc", "Sat, 01 Aug 2026 01:30:00 +0000", "este viernes a las 21:30", datetime(2026, 8, 7, 21, 30)),
+        ("named", "Sat, 01 Aug 2026 01:30:00 GMT", "este viernes a las 21:30", datetime(2026, 8, 7, 21, 30)),
+        ("east", "Sat, 01 Aug 2026 01:30:00 +0530", "el 1 de agosto a las 2:00", datetime(2026, 7, 31, 20, 30)),
+        ("range", "Fri, 31 Jul 2026 22:30:00 -0300", "del 3 al 9 de agosto de 2026", datetime(2026, 8, 3, 3, 0)),
+    ]
+    docs = spark.createDataFrame([(k, feed.format(p, d)) for k, p, d, _ in said], "source_id string, xml string")
+    posts = feeds.parse_feeds(docs, F.lit("2026-08-02").cast("timestamp"))
+    blank = [F.lit(None).cast("timestamp").alias(c) for c in ("start_at", "end_at")] + [F.lit(None).cast("string").alias(c) for c in ("venue_name", "address", "title")]
+    got = extract.enrich(posts.drop("error", "metadata").select("*", *blank, F.lit(False).alias("is_event"))).collect()
+    assert {r["source_id"]: r["start_at"] for r in got} == {k: t for k, _, _, t in said}
+    assert {r["source_id"]: r["end_at"] for r in got}["range"] == datetime(2026, 8, 10, 2, 59, 59)
+    stamps = ["2026-05-06T07:08:09-03:00", "2026-05-06T07:08:09+0530", "2026-05-06T07:08:09Z", "2026-05-06", "2026-05-06T07:08", None, "x", "2026-05-06T07:08:09+99:00"]
+    df = spark.createDataFrame([(x,) for x in stamps], "t string").select(dates.offset_iso(F.col("t")).alias("o"))
+    assert [r["o"] for r in df.collect()] == [-180, 330, None, None, None, None, None, None]

@@ -89,16 +89,23 @@ def candidates(posts: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 
 def enrich(rows: DataFrame) -> DataFrame:
-    """Fill what a model left open from the post's own words: dates, venue, address, and whether it is an event."""
+    """Fill what a model left open from the post's own words: dates, venue, address, and whether it is an event.
+
+    A post's published_offset (minutes east of UTC, if it has the column) is the zone of the days and clocks in its text:
+    they are read from its own local time, and start_at and end_at are the instants that they mean there.
+    """
     anchor = F.coalesce("published_at", "fetched_at")
-    rows = rows.withColumn("tw_text", dates.plain(F.col("raw_text"))).withColumn("tw_anchor", anchor)
+    offset = F.when(F.col("published_at").isNotNull(), F.col("published_offset")) if "published_offset" in rows.columns else F.lit(None).cast("int")
+    rows = rows.withColumns({"tw_text": dates.plain(F.col("raw_text")), "tw_offset": F.coalesce(offset, F.lit(0))}).withColumn("tw_anchor", dates.moved(anchor, F.col("tw_offset")))
+    utc = lambda t: dates.moved(t, -F.col("tw_offset"))
     found = dates.range_of(F.col("tw_text"), F.col("tw_anchor"))
     rows = rows.withColumn("tw_range", F.when(F.col("start_at").isNull(), found))
-    rows = rows.withColumn("end_at", F.coalesce("end_at", "tw_range.end")).withColumn("start_at", F.coalesce("start_at", "tw_range.start", F.when(F.col("tw_range").isNull(), dates.start_of(F.col("tw_text"), F.col("tw_anchor")))))
+    alone = F.when(F.col("tw_range").isNull(), dates.start_of(F.col("tw_text"), F.col("tw_anchor")))
+    rows = rows.withColumn("end_at", F.coalesce("end_at", utc(F.col("tw_range.end")))).withColumn("start_at", F.coalesce("start_at", utc(F.coalesce("tw_range.start", alone))))
     full = lambda c: F.when(F.col(c) != "", F.col(c))
     rows = rows.withColumn("venue_name", F.coalesce(full("venue_name"), text.infer_venue(F.col("raw_text")), full("title")))
     rows = rows.withColumn("address", F.coalesce(full("address"), text.infer_address(F.col("raw_text"))))
-    return rows.withColumn("is_event", F.col("is_event") | (F.col("start_at").isNotNull() & text.looks_like_event(F.col("raw_text")))).drop("tw_text", "tw_anchor", "tw_range")
+    return rows.withColumn("is_event", F.col("is_event") | (F.col("start_at").isNotNull() & text.looks_like_event(F.col("raw_text")))).drop("tw_text", "tw_anchor", "tw_range", "tw_offset")
 
 
 def usable(rows: DataFrame, s: Settings = DEFAULT) -> DataFrame:

@@ -13,7 +13,7 @@ from tidewire.operators import collect, decide, extract, geoclassify, learn, per
 from tidewire.runtime import materialise
 from tidewire.sources import catalogs, feeds
 
-RAW = "source_id string, url string, raw_text string, published_at timestamp, fetched_at timestamp, content_hash string"
+RAW = "source_id string, url string, raw_text string, published_at timestamp, published_offset int, fetched_at timestamp, content_hash string"
 EVENTS = "event_id string, slug string, title string, description string, start_at timestamp, end_at timestamp, recurrence_text string, venue_name string, address string, latitude decimal(9,6), longitude decimal(9,6), price_text string, category string, quality_score decimal(4,3), status string"
 LINKS = "event_id string, source_id string, source_url string, is_primary boolean"
 

@@ -229,6 +229,24 @@ def notice_enrichment(spark, sf_dir):
     return extract.enrich(rows).select("notice_id", F.unix_timestamp("start_at").alias("start_at"), F.unix_timestamp("end_at").alias("end_at"), "venue_name", "address", "is_event")
 
 
+_OFFSET = "CASE notice_id % 4 WHEN 0 THEN -180 WHEN 1 THEN 330 WHEN 2 THEN 0 END"
+
+
+@query(
+    "zoned_notices",
+    f"""WITH n AS (SELECT * REPLACE (anchor + (notice_id % 24) * INTERVAL '1' HOUR + coalesce({_OFFSET}, 0) * INTERVAL '1' MINUTE AS anchor), {_T} AS t FROM v_notice),
+        d AS (SELECT *, {_coalesced('start')} AS rs, {_coalesced('end')} AS re, coalesce({_REL}, {_ABS}, {_MONTH}) AS one FROM n)
+        SELECT notice_id, coalesce(rs, one) - coalesce({_OFFSET}, 0) * 60 AS start_at, re - coalesce({_OFFSET}, 0) * 60 AS end_at FROM d""",
+)
+def zoned_notices(spark, sf_dir):
+    """Days and clocks in the words of posts whose times have offsets of their own."""
+    n = view(spark, sf_dir, "v_notice")
+    published = F.timestamp_micros(F.unix_micros("anchor") + F.col("notice_id") % 24 * 3_600_000_000)
+    blank = [F.lit(None).cast("timestamp").alias(c) for c in ("start_at", "end_at", "fetched_at")] + [F.lit(None).cast("string").alias(c) for c in ("venue_name", "address", "title")]
+    rows = n.select("notice_id", "raw_text", published.alias("published_at"), F.expr(_OFFSET).alias("published_offset"), *blank, F.lit(False).alias("is_event"))
+    return extract.enrich(rows).select("notice_id", F.unix_timestamp("start_at").alias("start_at"), F.unix_timestamp("end_at").alias("end_at"))
+
+
 _ANSWER = """CASE o_orderkey % 5
     WHEN 0 THEN '```json' || chr(10) || '{"events": [{"is_event": true, "confidence": 0.' || CAST(40 + o_orderkey % 60 AS STRING) || ', "title": "T' || CAST(o_orderkey AS STRING) || '", "start_at": "2030-05-01T20:00:00Z", "evidence": {"title": "said", "venue": null}}, {"is_event": false, "confidence": 0.9}]}' || chr(10) || '```'
     WHEN 1 THEN '{"is_event": true, "confidence": 0.8, "title": null, "start_at": "2030-05-01T20:00:00", "description": "d"}'
