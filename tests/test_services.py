@@ -77,6 +77,22 @@ def test_clients():
     assert clients.jdbc_options("postgres://u:p@h/d", "t")["url"] == "jdbc:postgresql://h:5432/d"
 
 
+def test_database_in_parts(spark):
+    """Filters and columns reach the database, connections share the rows, nulls and empty tables are read."""
+    url = "jdbc:derby:memory:parts;create=true"
+    rows = spark.createDataFrame([(k if k % 10 else None, f"n{k % 7}", k * 0.5) for k in range(200)], "id long, name string, price double")
+    clients.write_table(rows, url, "T", "id BIGINT, name VARCHAR(10)")
+    got = clients.read_parts(spark, url, "T", "id", 4)
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted((r["id"] or -1, r["name"], r["price"]) for r in got.collect()) == sorted((r["id"] or -1, r["name"], r["price"]) for r in rows.collect())
+    some = got.filter("name = 'n3' and id > 100").select("price")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "*EqualTo(name,n3)" in plan and "*GreaterThan(id,100)" in plan and "ReadSchema: struct<price:double>" in plan
+    assert sorted(r["price"] for r in some.collect()) == [k * 0.5 for k in range(101, 200) if k % 7 == 3 and k % 10]
+    clients.write_table(rows.limit(0), url, "T")
+    assert clients.read_parts(spark, url, "T", "id", 4).count() == 0 and clients.read_table(spark, url, "T").count() == 0
+
+
 def test_requests_agree(spark):
     said = ["a b", "ñ/é&*~", "1+1=2?", "100% #x"]
     got = [r["u"] for r in spark.createDataFrame([(x,) for x in said], "q string").select(providers.request_column("locationiq", F.col("q"), key="K").alias("u")).collect()]

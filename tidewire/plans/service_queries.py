@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -210,6 +211,20 @@ def connection_settings(spark, sf_dir):
     return spark.createDataFrame(rows, "url string, user string")
 
 
+@query("database_orders", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def database_orders(spark, sf_dir):
+    """All orders written into a database and read back by eight connections, those that are done by a filter in the database.
+
+    The database is the one that comes with Spark, embedded in this process, so this runs on one machine only; a
+    server's url takes its place on a cluster.
+    """
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    clients.write_table(rows, url, "ORDERS", "o_orderkey BIGINT, o_orderstatus VARCHAR(8)")
+    found = clients.read_parts(spark, url, "ORDERS", "o_orderkey", 8).filter("o_orderstatus = 'F'")
+    return found.select("o_orderkey", "o_orderdate", F.round("o_totalprice", 2).alias("o_totalprice"))
+
+
 # --- waits ---
 
 

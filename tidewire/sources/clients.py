@@ -11,6 +11,9 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 
 
+DATABASES = ("postgres://", "postgresql://", "jdbc:")
+
+
 class NotConfigured(Exception):
     """A service without credentials was asked."""
 
@@ -23,18 +26,41 @@ def database_url(given: Mapping[str, str]) -> str:
 
 
 def jdbc_options(url: str, table: str) -> dict[str, str]:
-    """Options of Spark's JDBC source for a database url."""
+    """Options of Spark's JDBC source for a database url; one that begins with jdbc: is taken as it is."""
+    if url.startswith("jdbc:"):
+        return {"url": url, "dbtable": table}
     p = urlsplit(url)
     return {"url": f"jdbc:postgresql://{p.hostname}:{p.port or 5432}{p.path}", "dbtable": table, "user": p.username or "", "password": p.password or "", "driver": "org.postgresql.Driver"}
 
 
 def read_table(spark: SparkSession, where: str, table: str) -> DataFrame:
     """A stored table: of a database if `where` is its url, else of a folder of Parquet tables."""
-    if where.startswith(("postgres://", "postgresql://")):
+    if where.startswith(DATABASES):
         return spark.read.format("jdbc").options(**jdbc_options(where, table)).load()
     return spark.read.parquet(f"{where.rstrip('/')}/{table}.parquet")
 
 
+def read_parts(spark: SparkSession, url: str, table: str, column: str, parts: int, fetch_rows: int = 10_000) -> DataFrame:
+    """A database's table, read by `parts` connections at once: each takes a stretch of a whole-number column.
+
+    The stretches lie between the column's least and greatest value, which the database is asked for first; rows
+    with a null there come with the first. Filters and columns of what follows reach the database. Everything is
+    read within `fetch_rows` rows at a time, so a task holds no table. A table without rows is read by one connection.
+    """
+    options = jdbc_options(url, table)
+    ends = spark.read.format("jdbc").options(**options | {"dbtable": f'(SELECT min("{column}") AS low, max("{column}") AS high FROM {table}) ends'}).load().toDF("low", "high").first()
+    reader = spark.read.format("jdbc").options(**options).option("fetchsize", fetch_rows)
+    if ends["low"] is not None:
+        reader = reader.options(partitionColumn=f'"{column}"', lowerBound=int(ends["low"]), upperBound=int(ends["high"]) + 1, numPartitions=parts)
+    return reader.load()
+
+
+def write_table(rows: DataFrame, url: str, table: str, kinds: str | None = None, parts: int = 8) -> None:
+    """Write rows into a new or emptied table of a database, over `parts` connections at most; kinds may name its columns' types."""
+    options = jdbc_options(url, table) | ({"createTableColumnTypes": kinds} if kinds else {})
+    rows.coalesce(parts).write.format("jdbc").options(**options).option("truncate", True).mode("overwrite").save()
+
+
 def read_image(url: str) -> str:
     """Text in an image: no such service is part of the engine."""
     raise NotConfigured("text recognition is switched off or has no credentials")
