@@ -158,8 +158,8 @@ def merge_evidence(evidence: Column, notes: dict[str, Column]) -> Column:
     return F.map_concat(base, added)
 
 
-def classify(rows: DataFrame, places: DataFrame, answers: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Add geo (the decision and its grounds), coordinates and processing_status to candidates.
+def classify(rows: DataFrame, places: DataFrame, answers: DataFrame, s: Settings = DEFAULT, with_breakdown: bool = False) -> DataFrame:
+    """Add geo (the decision and its grounds), coordinates and processing_status to candidates; with_breakdown also geo_breakdown, the parts of the confidence.
 
     rows need a unique `id`, address, venue_name, geo_query, evidence, latitude, longitude; answers are
     providers' candidates. Given coordinates are judged as they are; then the catalog; then providers.
@@ -183,5 +183,7 @@ def classify(rows: DataFrame, places: DataFrame, answers: DataFrame, s: Settings
     out = out.withColumn("processing_status", geo.status_of(F.col("geo_decision"))).withColumn("geo_precision", F.when(given, F.coalesce("geo_precision", F.lit("explicit"))).otherwise(F.coalesce("g.precision", "geo_decision")) if "geo_precision" in rows.columns else F.coalesce("g.precision", "geo_decision"))
     notes = {"geo_provider": F.col("geo_provider"), "geo_source": F.coalesce("geo_provider", "geo_decision"), "geo_decision": F.col("geo_decision"), "geo_confidence": F.format_string("%.3f", "geo_confidence"), "geo_reason": F.array_join("geo_reasons", ", ")}
     out = out.withColumn("evidence", F.when(given, F.col("evidence")).otherwise(merge_evidence(F.col("evidence"), notes)))
-    out = out.withColumn("latitude", F.coalesce("latitude", "g.latitude")).withColumn("longitude", F.coalesce("longitude", "g.longitude"))
+    if with_breakdown:
+        out = out.withColumn("geo_breakdown", F.when(~given, F.col("g.breakdown")))
+    out = out.withColumns({"latitude": F.coalesce("latitude", "g.latitude"), "longitude": F.coalesce("longitude", "g.longitude")})
     return out.drop("key", "g")

@@ -167,6 +167,62 @@ def _located(spark, sf_dir):
     return geoclassify.classify(c, _places(spark), answers)
 
 
+_PARTS = ("text_similarity", "city_match", "state_match", "country_match", "coordinate_in_allowed_area", "provider_confidence", "catalog_exact_match")
+_TOTAL = "least(1, greatest(0, " + " + ".join(f"{p} * {w}::DOUBLE" for p, w in zip(_PARTS, (0.30, 0.15, 0.10, 0.10, 0.15, 0.15, 0.05))) + "))"
+_BY_TOTAL = "CASE WHEN total >= 90E-2 THEN 'accepted' WHEN total >= 75E-2 THEN 'provisional' WHEN total >= 50E-2 THEN 'manual_review' ELSE 'rejected' END"
+_OR_AREA = "CASE WHEN {0} > 0 THEN {0} ELSE inside END"
+_NAMED = lambda c, name: f"CASE WHEN {_N(c)} = '{name}' THEN 1E0 WHEN contains({_N(c)}, '{name}') THEN 9E-1 ELSE 0E0 END"
+#: Places as people write them, some with a venue that providers know, some with coordinates.
+_ASKED = "CASE WHEN place_id % 3 = 0 THEN 'Place ' || CAST(place_id % 1000 AS STRING) END"
+_GIVEN = "CASE WHEN place_id % 7 = 0 THEN {0} + (place_id % 50 - 25) / 1E2 END"
+_ENTRIES = "(VALUES (0, 1E0, 1E0, 1E0, 1E0, false, -27.3671, -55.8961), (1, 1E0, 1E0, 1E0, 1E0, false, -27.36, -55.89), (2, 0E0, 0E0, 0E0, 1E0, true, -27.33, -55.87), (3, 0E0, 1E0, 1E0, 0E0, true, -27.48, -55.13)) entries(o, city_match, state_match, country_match, inside, barred, lat, lon)"
+
+
+@query(
+    "location_rows",
+    f"""WITH r AS (SELECT place_id, place, {_ASKED} AS venue, {_GIVEN.format("-273671E-4")} AS lat, {_GIVEN.format("-558961E-4")} AS lon FROM v_place),
+        t AS (SELECT *, {_N("text")} AS key, lat IS NOT NULL AS given FROM (SELECT *, concat_ws(', ', CASE WHEN trim(place) <> '' THEN place END, venue) AS text FROM r)),
+        keys AS (SELECT DISTINCT key AS a FROM t WHERE NOT given AND key <> ''), p AS (SELECT DISTINCT a, b FROM keys, {_NAMES}), {similarity_sql.fuzzy("p", "f")},
+        named AS (SELECT f.a AS key, o, k, CASE WHEN f.a = f.b THEN 1E0 ELSE weighted * 0.5::DOUBLE + token_set * 0.3::DOUBLE + token_sort * 0.2::DOUBLE END AS text_similarity, CASE WHEN f.a = f.b THEN 1E0 ELSE 0E0 END AS catalog_exact_match FROM f JOIN {_NAMES} ON f.b = names.b),
+        close AS (SELECT * FROM named WHERE text_similarity >= 85E-2 QUALIFY row_number() OVER (PARTITION BY key ORDER BY catalog_exact_match DESC, text_similarity DESC, o, k) = 1),
+        c1 AS (SELECT key, lat, lon, barred, text_similarity, city_match, state_match, country_match, inside AS coordinate_in_allowed_area, 1E0 AS provider_confidence, catalog_exact_match FROM close JOIN {_ENTRIES} ON close.o = entries.o),
+        catalog AS (SELECT *, {_TOTAL} AS total FROM c1),
+        q AS (SELECT DISTINCT key, venue FROM t WHERE NOT given AND key <> '' AND venue IS NOT NULL AND key NOT IN (SELECT key FROM catalog)),
+        g AS (SELECT q.key, provider, ordinal, city, state, country_code, latitude AS lat, longitude AS lon, normalized_name AS b, least(1, greatest(0, coalesce(nullif(confidence, 0), importance, 0))) AS provider_confidence, CASE WHEN {_km("latitude", "longitude")} <= 15 THEN 1E0 ELSE 0E0 END AS inside FROM q JOIN v_geo ON venue = display_name),
+        gp AS (SELECT DISTINCT key AS a, b FROM g), {similarity_sql.fuzzy("gp", "gf")},
+        g1 AS (SELECT g.*, greatest(weighted, token_set, token_sort) AS text_similarity, {_NAMED("city", "posadas")} AS cm, {_NAMED("state", "misiones")} AS sm, CASE WHEN lower(country_code) = 'ar' THEN 1E0 ELSE 0E0 END AS nm, 0E0 AS catalog_exact_match, inside AS coordinate_in_allowed_area FROM g JOIN gf ON gf.a = g.key AND gf.b = g.b),
+        g2 AS (SELECT *, {_OR_AREA.format("cm")} AS city_match, {_OR_AREA.format("sm")} AS state_match, {_OR_AREA.format("nm")} AS country_match FROM g1),
+        g3 AS (SELECT *, {_TOTAL} AS total, row_number() OVER w AS n, lead(provider_confidence) OVER w AS next FROM g2 WINDOW w AS (PARTITION BY key ORDER BY provider_confidence DESC, provider, ordinal)),
+        g4 AS (SELECT *, coalesce(bool_or(n = 1 AND provider_confidence - next < 1E-1) OVER (PARTITION BY key), false) AS unclear FROM g3),
+        g5 AS (SELECT * FROM g4 QUALIFY row_number() OVER (PARTITION BY key ORDER BY CASE WHEN unclear THEN n END, total DESC, ordinal) = 1),
+        provided AS (SELECT *, coalesce(country_code <> '' AND lower(country_code) <> 'ar', false) AS away FROM g5),
+        decided AS (
+            SELECT key, CASE WHEN barred THEN 'rejected' ELSE {_BY_TOTAL} END AS decision, total, lat, lon, 'catalog' AS provider, CASE WHEN catalog_exact_match = 1 THEN 'catalog_exact_match' ELSE 'catalog_fuzzy_match' END AS reasons, {", ".join(_PARTS)} FROM catalog
+            UNION ALL
+            SELECT key, CASE WHEN unclear THEN 'manual_review' WHEN away OR inside = 0 THEN 'rejected' ELSE {_BY_TOTAL} END, total, lat, lon, provider,
+                concat_ws(', ', CASE WHEN unclear THEN 'multiple_close_matches' END, CASE WHEN NOT unclear AND away THEN 'country_out_of_scope' END, CASE WHEN NOT unclear AND inside = 0 THEN 'outside_allowed_area' END, CASE WHEN NOT unclear AND cm = 1 THEN 'city_matches_posadas' END, CASE WHEN NOT unclear AND sm = 1 THEN 'state_matches_misiones' END,
+                    CASE WHEN country_match < 1 THEN 'country_mismatch' END, CASE WHEN inside = 0 THEN 'outside_allowed_area' END), {", ".join(_PARTS)} FROM provided
+        ),
+        j AS (
+            SELECT place_id, given, CASE WHEN given THEN CASE WHEN {_km("t.lat", "t.lon")} <= 15 THEN 'accepted' ELSE 'rejected' END ELSE coalesce(decision, 'unresolved') END AS decision, CASE WHEN given THEN CASE WHEN {_km("t.lat", "t.lon")} <= 15 THEN 1E0 ELSE 0E0 END ELSE coalesce(total, 0) END AS confidence,
+                CASE WHEN given THEN 'explicit' ELSE provider END AS provider, CASE WHEN given THEN 'explicit_coordinates' WHEN t.key = '' THEN 'missing_location_text' ELSE coalesce(reasons, 'no_geocoding_candidates') END AS reasons, coalesce(t.lat, decided.lat) AS latitude, coalesce(t.lon, decided.lon) AS longitude, {", ".join(_PARTS)}
+            FROM t LEFT JOIN decided ON NOT given AND t.key = decided.key
+        )
+        SELECT place_id, decision, round(confidence, 9) AS confidence, provider, reasons, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, CASE WHEN decision IN ('accepted', 'provisional') THEN 'GEOLOCATED' WHEN decision IN ('manual_review', 'unresolved') THEN 'PENDING_REVIEW' ELSE 'REJECTED' END AS status,
+            CASE WHEN given THEN 'geo_decision=old; told=by ' || CAST(place_id % 5 AS VARCHAR) ELSE concat_ws('; ', 'geo_decision=' || decision, 'geo_provider=' || provider, 'geo_reason=' || reasons, 'geo_source=' || coalesce(provider, decision), 'told=by ' || CAST(place_id % 5 AS VARCHAR)) END AS evidence, {", ".join(f"round({p}, 9) AS {p}" for p in _PARTS)} FROM j""",
+)
+def location_rows(spark, sf_dir):
+    """Where each text is, from its coordinates, the catalog or providers: decision, confidence and its parts, reasons, evidence."""
+    p = view(spark, sf_dir, "v_place")
+    given = lambda least: F.expr(_GIVEN.format(least))
+    evidence = F.create_map(F.lit("told"), F.concat(F.lit("by "), (F.col("place_id") % 5).cast("string")), F.lit("geo_decision"), F.lit("old"))
+    rows = p.select(F.col("place_id").alias("id"), F.expr(_ASKED).alias("venue_name"), F.col("place").alias("address"), F.lit(None).cast("string").alias("geo_query"), evidence.alias("evidence"), given("-273671E-4").alias("latitude"), given("-558961E-4").alias("longitude"))
+    answers = view(spark, sf_dir, "v_geo").withColumn("query", F.col("display_name"))
+    found = geoclassify.classify(rows, _places(spark), answers, with_breakdown=True)
+    said = F.array_sort(F.transform(F.filter(F.map_entries("evidence"), lambda e: e["key"] != "geo_confidence"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return found.select(F.col("id").alias("place_id"), F.col("geo_decision").alias("decision"), F.round("geo_confidence", 9).alias("confidence"), F.col("geo_provider").alias("provider"), F.array_join("geo_reasons", ", ").alias("reasons"), F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), F.col("processing_status").alias("status"), F.array_join(said, "; ").alias("evidence"), *[F.round(f"geo_breakdown.{n}", 9).alias(n) for n in _PARTS])
+
+
 @query(
     "location_queries",
     """SELECT candidate_id, CASE WHEN venue_name IS NULL AND address IS NULL THEN 0 WHEN venue_name IS NULL THEN 1 WHEN address IS NULL THEN 3 ELSE 5 END AS n_queries,
