@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import dates, text, urls
 from tidewire.operators import collect, extract
 from tidewire.runtime import table
-from tidewire.sources import feeds
+from tidewire.sources import feeds, functions
 
 from .registry import query
 from .views import view
@@ -368,3 +368,25 @@ def chain_demo(spark, sf_dir):
     cards = feeds.parse_pages(docs, F.lit("2024-01-03").cast("timestamp"))
     blank = cards.select("*", F.lit(False).alias("is_event"), text.first_line(F.col("raw_text")).alias("title"), *[F.lit(None).cast("string").alias(c) for c in ("venue_name", "address")], *[F.lit(None).cast("timestamp").alias(c) for c in ("start_at", "end_at")])
     return extract.enrich(blank).select("source_id", "url", "venue_name", F.unix_timestamp("start_at").alias("start_at"), "is_event")
+
+
+@query("page_functions", "SELECT page_id, 0 AS ordinal, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS links FROM pages")
+def page_functions(spark, sf_dir):
+    """All pages through the parser as a table function of SQL."""
+    functions.register(spark)
+    return spark.sql("SELECT p.page_id, r.ordinal, r.title, r.links FROM {pages} p, LATERAL read_document(p.html, 'page') r", pages=table(spark, sf_dir, "pages"))
+
+
+@query(
+    "answer_functions",
+    """SELECT o_orderkey AS id, 0 AS ordinal, true AS is_event, (40 + o_orderkey % 60) / 1E2 AS confidence, 'T' || CAST(o_orderkey AS VARCHAR) AS title, '2030-05-01T20:00:00Z' AS start_at FROM orders WHERE o_orderkey % 5 = 0
+       UNION ALL SELECT o_orderkey, 1, false, 9E-1, NULL, NULL FROM orders WHERE o_orderkey % 5 = 0
+       UNION ALL SELECT o_orderkey, 0, true, 8E-1, NULL, '2030-05-01T20:00:00' FROM orders WHERE o_orderkey % 5 = 1
+       UNION ALL SELECT o_orderkey, 1, true, 95E-2, NULL, '1990-01-01T00:00:00Z' FROM orders WHERE o_orderkey % 5 = 4
+       UNION ALL SELECT o_orderkey, 2, true, 6E-1, NULL, NULL FROM orders WHERE o_orderkey % 5 = 4""",
+)
+def answer_functions(spark, sf_dir):
+    """Models' answers through the reader of answers as a table function of SQL."""
+    functions.register(spark)
+    posts = _posts(spark, sf_dir).select(F.col("raw_content_id").alias("id"), "answer")
+    return spark.sql("SELECT p.id, r.* FROM {posts} p, LATERAL read_answer(p.answer) r", posts=posts)
