@@ -93,6 +93,31 @@ def test_database_in_parts(spark):
     assert clients.read_parts(spark, url, "T", "id", 4).count() == 0 and clients.read_table(spark, url, "T").count() == 0
 
 
+def test_column_forms_agree_with_plain_ones(spark):
+    """Provider chains, database urls and checks of settings, as columns and as functions."""
+    from dataclasses import replace
+
+    from tidewire import config
+
+    cases = [(["locationiq", "nominatim", "geoapify"], {"locationiq": "a", "geoapify": "b"}), (["nominatim", "geoapify"], {}), (["geoapify"], {"geoapify": ""}), (["nominatim"], None)]
+    got = spark.createDataFrame(cases, "n array<string>, k map<string,string>").select(providers.chain(F.col("n"), F.col("k")).alias("c")).collect()
+    assert [r["c"] for r in got] == [providers.enabled(tuple(n), k or {}) for n, k in cases]
+    urls = ["postgres://u:p@h/d", "postgresql://h:5433/d", "jdbc:derby:x"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    made = df.select(*[c.alias(n) for n, c in clients.jdbc_columns(F.col("u")).items()]).collect()
+    assert [r["url"] for r in made] == [clients.jdbc_options(u, "t")["url"] for u in urls] and [r["user"] for r in made[:2]] == [clients.jdbc_options(u, "t")["user"] for u in urls[:2]]
+    given = [{}, {"confidence_review": 0.9}, {"duplicate_merge": 0.6}, {"geo_review": 0.95}, {"geo_weights": (0.5, 0.6)}, {"confidence_accept": 1.5}, {"duplicate_candidate": 0.8}, {"bbox": (1.0, 2.0, None, 4.0)}, {"bbox": (1.0, 2.0, 3.0, 4.0)}, {"bbox": (1.0, 2.0)}]
+    for g in given:
+        try:
+            replace(config.DEFAULT, **g)
+            fine = True
+        except ValueError:
+            fine = False
+        kinds = ", ".join(f"{k} {'array<double>' if isinstance(v, tuple) else 'double'}" for k, v in g.items()) or "x int"
+        rows = spark.createDataFrame([tuple(list(v) if isinstance(v, tuple) else v for v in g.values()) or (1,)], kinds)
+        assert (rows.select(config.contradictions(rows).alias("w")).first()["w"] == []) == fine
+
+
 def test_requests_agree(spark):
     said = ["a b", "ñ/é&*~", "1+1=2?", "100% #x"]
     got = [r["u"] for r in spark.createDataFrame([(x,) for x in said], "q string").select(providers.request_column("locationiq", F.col("q"), key="K").alias("u")).collect()]

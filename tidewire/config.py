@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -61,3 +65,23 @@ DEFAULT = Settings()
 def split_list(value: str) -> tuple[str, ...]:
     """A comma-separated setting: trimmed, lower-cased, blanks dropped."""
     return tuple(x.strip().casefold() for x in value.split(",") if x.strip())
+
+
+def contradictions(rows: DataFrame) -> Column:
+    """What is wrong with each row of a table of settings, as an array of names; the rules are those of Settings.
+
+    Columns that the table lacks have their defaults. The weights and the box are arrays.
+    """
+    given = lambda n: F.col(n) if n in rows.columns else F.lit(getattr(DEFAULT, n))
+    shares = [f.name for f in fields(Settings) if f.type == "float" and not f.name.startswith(("base_", "radius", "consensus", "near"))]
+    weights = F.col("geo_weights") if "geo_weights" in rows.columns else F.array(*[F.lit(w) for w in DEFAULT.geo_weights])
+    box = F.col("bbox") if "bbox" in rows.columns else F.lit(None).cast("array<double>")
+    wrong = {
+        "shares": ~reduce(lambda a, b: a & b, [given(n).between(0, 1) for n in shares]),
+        "confidence": given("confidence_review") > given("confidence_accept"),
+        "duplicates": (given("duplicate_candidate") > given("duplicate_review")) | (given("duplicate_review") > given("duplicate_merge")),
+        "location": (given("geo_reject") > given("geo_review")) | (given("geo_review") > given("geo_accept")),
+        "box": box.isNotNull() & ((F.size(box) != 4) | F.exists(box, lambda x: x.isNull())),
+        "weights": F.abs(F.aggregate(weights, F.lit(0.0), lambda a, x: a + x) - 1) > 1e-9,
+    }
+    return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in wrong.items()]), lambda x: x.isNotNull())

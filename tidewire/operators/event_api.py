@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,3 +79,9 @@ def status_label(status: Column) -> tuple[Column, Column]:
     for name, (text, kind) in STATUS.items():
         label, variant = F.when(status == name, text).otherwise(label), F.when(status == name, kind).otherwise(variant)
     return label, variant
+
+
+def ready(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, ok) of stored tables: whether each answers with a row; a table that cannot be read fails the query."""
+    rows = [t.limit(1).agg(F.lit(name).alias("name"), (F.count("*") > 0).alias("ok")) for name, t in tables.items()]
+    return reduce(DataFrame.union, rows)

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidewire import cli
-from tidewire.config import Settings, split_list
+from tidewire.config import contradictions, split_list
 from tidewire.functions import text
 from tidewire.operators import consensus, extract, runs
 from tidewire.runtime import materialise, scratch, table
@@ -106,25 +106,24 @@ def asked_answers(spark, sf_dir):
     return extract.ask(posts, model).select("ordinal", "answer", "answer_error")
 
 
-@query("classified", "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'accepted' WHEN 2 THEN 'waited' END AS decision, CASE WHEN n_nationkey % 4 = 3 THEN 'TypeError' END AS error FROM nation")
+@query("classified", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN o_orderpriority WHEN 2 THEN 'waited' END AS decision, CASE WHEN o_orderkey % 4 = 3 THEN 'TypeError' END AS error FROM orders")
 def classified(spark, sf_dir):
-    """Classifiers that return a mapping, an object, something to wait for, or nothing of use."""
+    """Classifiers that return a mapping, an object, something to wait for, or nothing of use, over all orders."""
 
     class Said:
+        def __init__(self, decision):
+            self.decision = decision
+
         def as_dict(self):
-            return {"decision": "accepted"}
+            return {"decision": self.decision}
 
-    async def waits(_):
+    async def waits():
         return {"decision": "waited"}
 
-    kinds = (lambda _: {"decision": "accepted"}, lambda _: Said(), waits, lambda _: "accepted")
-    rows = []
-    for r in table(spark, sf_dir, "nation").select("n_nationkey").collect():  # 25 rows
-        try:
-            rows.append((r[0], clients.classification(kinds[r[0] % 4], r).get("decision"), None))
-        except TypeError as e:
-            rows.append((r[0], None, type(e).__name__))
-    return spark.createDataFrame(rows, "n_nationkey int, decision string, error string")
+    kinds = (lambda _: {"decision": "accepted"}, lambda r: Said(r["o_orderpriority"]), lambda _: waits(), lambda _: "accepted")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    found = clients.classify(rows, lambda r: kinds[r["o_orderkey"] % 4](r), "decision string")
+    return found.select("o_orderkey", "decision", F.col("classifier_error").alias("error"))
 
 
 @query("image_texts", "SELECT s_suppkey, CAST(NULL AS VARCHAR) AS said, 'NotConfigured' AS error FROM supplier")
@@ -152,11 +151,18 @@ def provider_requests(spark, sf_dir):
     return p.select("place_id", *[providers.request_column(n, F.col("place"), key=k).alias(n) for n, k in (("nominatim", None), ("geoapify", "K"))])
 
 
-@query("provider_chain", "SELECT * FROM (VALUES ('all', 'locationiq,nominatim,geoapify'), ('free', 'nominatim'), ('none', ''), ('one key', 'nominatim,geoapify')) t(\"case\", chain)")
+_NAMED = "CASE c_custkey % 4 WHEN 0 THEN 'locationiq,nominatim,geoapify' WHEN 1 THEN 'nominatim,geoapify' WHEN 2 THEN 'geoapify' ELSE '' END"
+
+
+@query(
+    "provider_chain",
+    f"""SELECT c_custkey, array_to_string(list_filter(string_split({_NAMED}, ','), lambda n: n = 'nominatim' OR (n = 'locationiq' AND c_custkey % 3 = 1) OR (n = 'geoapify' AND c_custkey % 5 > 1)), ',') AS chain FROM customer""",
+)
 def provider_chain(spark, sf_dir):
-    """Providers in the configured order, those without a key left out."""
-    cases = {"all": (("locationiq", "nominatim", "geoapify"), {"locationiq": "a", "geoapify": "b"}), "free": (("nominatim", "geoapify"), {}), "none": (("geoapify",), {"geoapify": ""}), "one key": (("locationiq", "nominatim", "geoapify"), {"geoapify": "b"})}
-    return spark.createDataFrame([(k, ",".join(providers.enabled(*v))) for k, v in cases.items()], "case string, chain string")
+    """Providers in the order that each customer configured, those without a key left out."""
+    k = F.col("c_custkey")
+    keys = F.when(k % 7 == 0, F.create_map(F.lit("locationiq"), F.when(k % 3 == 1, "a"), F.lit("geoapify"), F.when(k % 5 > 1, "b"))).otherwise(F.create_map(F.lit("locationiq"), F.when(k % 3 == 1, "a").otherwise(""), F.lit("geoapify"), F.when(k % 5 > 1, "b").otherwise("")))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(providers.chain(F.split(F.expr(_NAMED), ","), keys), ",").alias("chain"))
 
 
 @query(
@@ -174,18 +180,21 @@ def cluster_numbers(spark, sf_dir):
 # --- settings ---
 
 
-@query("settings_checked", "SELECT * FROM (VALUES ('defaults', true), ('review above accept', false), ('duplicates descend', false), ('location descends', false), ('half a box', false), ('weights', false), ('share above one', false), ('box', true)) t(\"case\", ok)")
+_SETTINGS = {"confidence_review": "(o_orderkey % 8) / 1E1", "confidence_accept": "(o_orderkey % 13) / 1E1", "duplicate_candidate": "5E-1", "duplicate_review": "(o_orderkey % 5 + 4) / 1E1", "duplicate_merge": "(o_orderkey % 3 + 7) / 1E1", "geo_reject": "(o_orderkey % 6) / 1E1", "geo_review": "6E-1", "geo_accept": "(o_orderkey % 7 + 4) / 1E1"}
+
+
+@query(
+    "settings_checked",
+    f"""SELECT o_orderkey, concat_ws(',', CASE WHEN confidence_accept > 1 THEN 'shares' END, CASE WHEN confidence_review > confidence_accept THEN 'confidence' END, CASE WHEN duplicate_candidate > duplicate_review OR duplicate_review > duplicate_merge THEN 'duplicates' END,
+        CASE WHEN geo_reject > geo_review OR geo_review > geo_accept THEN 'location' END, CASE WHEN o_orderkey % 11 = 1 THEN 'box' END, CASE WHEN o_orderkey % 9 = 4 THEN 'weights' END) AS wrong FROM (SELECT o_orderkey, {", ".join(f"{e} AS {n}" for n, e in _SETTINGS.items())} FROM orders)""",
+)
 def settings_checked(spark, sf_dir):
-    """Which settings contradict themselves."""
-    cases = {"defaults": {}, "review above accept": {"confidence_review": 0.9}, "duplicates descend": {"duplicate_merge": 0.6}, "location descends": {"geo_review": 0.95}, "half a box": {"bbox": (1.0, 2.0, None, 4.0)}, "weights": {"geo_weights": (0.5, 0.6)}, "share above one": {"confidence_accept": 1.5}, "box": {"bbox": (1.0, 2.0, 3.0, 4.0)}}
-    rows = []
-    for name, given in cases.items():
-        try:
-            Settings(**given)
-            rows.append((name, True))
-        except ValueError:
-            rows.append((name, False))
-    return spark.createDataFrame(rows, "case string, ok boolean")
+    """Which of many settings contradict themselves, and in what."""
+    k = F.col("o_orderkey")
+    box = F.when(k % 11 == 0, F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0))).when(k % 11 == 1, F.array(F.lit(1.0), F.lit(2.0), F.lit(None).cast("double"), F.lit(4.0)))
+    weights = F.when(k % 9 == 4, F.array(F.lit(0.5), F.lit(0.6))).otherwise(F.array(F.lit(0.25), F.lit(0.75)))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", *[F.expr(e).alias(n) for n, e in _SETTINGS.items()], box.alias("bbox"), weights.alias("geo_weights"))
+    return rows.select("o_orderkey", F.array_join(contradictions(rows), ",").alias("wrong"))
 
 
 _LISTED = "CASE place_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ,, ' WHEN 2 THEN 'Nominatim, GEOAPIFY ,' ELSE 'a' || CAST(place_id AS STRING) || ',B' END"
@@ -202,13 +211,9 @@ def setting_lists(spark, sf_dir):
 @query("connection_settings", "SELECT 'jdbc:postgresql://db' || CAST(n_nationkey AS VARCHAR) || ':' || CASE WHEN n_nationkey % 2 = 0 THEN '5433' ELSE '5432' END || '/tidewire' AS url, 'u' || CAST(n_nationkey AS VARCHAR) AS user FROM nation")
 def connection_settings(spark, sf_dir):
     """Where the stored tables are: a given database url, or one made of its parts, as options of Spark's reader."""
-    rows = []
-    for r in table(spark, sf_dir, "nation").select("n_nationkey").collect():  # 25 rows
-        k = r[0]
-        given = {"database_url": f"postgres://u{k}:p@db{k}:5433/tidewire"} if k % 2 == 0 else {"user": f"u{k}", "password": "p", "host": f"db{k}", "port": "5432", "db": "tidewire"}
-        made = clients.jdbc_options(clients.database_url(given), "events")
-        rows.append((made["url"], made["user"]))
-    return spark.createDataFrame(rows, "url string, user string")
+    k = F.col("n_nationkey").cast("string")
+    given = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("postgres://u"), k, F.lit(":p@db"), k, F.lit(":5433/tidewire"))).otherwise(F.concat(F.lit("postgres://u"), k, F.lit(":p@db"), k, F.lit("/tidewire")))
+    return table(spark, sf_dir, "nation").select(*[c.alias(n) for n, c in clients.jdbc_columns(given).items()])
 
 
 @query("database_orders", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderstatus = 'F'")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import asyncio
 import inspect
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 DATABASES = ("postgres://", "postgresql://", "jdbc:")
@@ -33,6 +35,14 @@ def jdbc_options(url: str, table: str) -> dict[str, str]:
     return {"url": f"jdbc:postgresql://{p.hostname}:{p.port or 5432}{p.path}", "dbtable": table, "user": p.username or "", "password": p.password or "", "driver": "org.postgresql.Driver"}
 
 
+def jdbc_columns(url: Column) -> dict[str, Column]:
+    """jdbc_options() for a column of database urls: url and user."""
+    where = F.parse_url(url, F.lit("AUTHORITY"))
+    port = F.regexp_extract(where, r":(\d+)$", 1)
+    made = F.concat(F.lit("jdbc:postgresql://"), F.parse_url(url, F.lit("HOST")), F.lit(":"), F.when(port != "", port).otherwise("5432"), F.parse_url(url, F.lit("PATH")))
+    return {"url": F.when(url.startswith("jdbc:"), url).otherwise(made), "user": F.coalesce(F.substring_index(F.parse_url(url, F.lit("USERINFO")), ":", 1), F.lit(""))}
+
+
 def read_table(spark: SparkSession, where: str, table: str) -> DataFrame:
     """A stored table: of a database if `where` is its url, else of a folder of Parquet tables."""
     if where.startswith(DATABASES):
@@ -80,3 +90,21 @@ def classification(classifier: Callable[[Any], Any], candidate: Any) -> dict[str
     if hasattr(said, "as_dict"):
         return dict(said.as_dict())
     raise TypeError("a classifier must return a mapping or an object with as_dict()")
+
+
+def classify(rows: DataFrame, classifier: Callable[[Mapping[str, Any]], Any], fields: str) -> DataFrame:
+    """Add what a classifier says of each row, as columns `fields` (name type, ...), and `classifier_error` where it fails."""
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            said: list[dict] = []
+            for row in part.to_dict("records"):
+                try:
+                    said.append({n: None for n in names} | {k: v for k, v in classification(classifier, row).items() if k in names} | {"classifier_error": None})
+                except Exception as e:  # one row must not stop the others
+                    said.append({n: None for n in names} | {"classifier_error": type(e).__name__})
+            yield part.assign(**{n: [x[n] for x in said] for n in (*names, "classifier_error")})
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    return rows.mapInPandas(run, f"{kinds}, {fields}, classifier_error string")

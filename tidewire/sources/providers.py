@@ -110,6 +110,12 @@ def enabled(names: tuple[str, ...], keys: dict[str, str]) -> list[str]:
     return [n for n in names if n == "nominatim" or keys.get(n)]
 
 
+def chain(names: Column, keys: Column) -> Column:
+    """enabled() for columns: an array of names, a map of keys; null maps hold none."""
+    given = F.coalesce(keys, F.create_map().cast("map<string,string>"))
+    return F.filter(names, lambda n: (n == "nominatim") | (F.coalesce(F.element_at(given, n), F.lit("")) != ""))
+
+
 def cache_key(provider: Column, query: Column, country: str, limit: int) -> Column:
     return F.concat_ws("|", provider, normalize_location(query), F.lit(country), F.lit(limit))
 
