@@ -7,8 +7,12 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
+from types import ModuleType
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
@@ -80,3 +84,13 @@ def prepare(spark: SparkSession) -> None:
             out.write(path, f"{PACKAGE.name}/{path.relative_to(PACKAGE)}")
     sc.addPyFile(archive)
     sc._tidewire_shipped = True
+
+
+@contextmanager
+def carried(package: ModuleType) -> Iterator[None]:
+    """What is handed to Spark in here brings this package's code along: the processes that plan and run streams do not get a session's files."""
+    cloudpickle.register_pickle_by_value(package)
+    try:
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(package)

@@ -13,13 +13,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 from tidewire import sources
-from tidewire.runtime import prepare
+from tidewire.runtime import carried, prepare
 from tidewire.store import DIGITS, LOG, Versions
 
 from .feeds import FetchError, Outline, read_cards, read_feed
@@ -198,12 +197,8 @@ def register(spark: SparkSession) -> None:
     """Make format("landed") known to a session, and let filters reach it."""
     prepare(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    # The process that plans a stream does not get the files of a session, so the source brings its own code.
-    cloudpickle.register_pickle_by_value(sources)
-    try:
+    with carried(sources):
         spark.dataSource.register(LandedSource)
-    finally:
-        cloudpickle.unregister_pickle_by_value(sources)
 
 
 def batch(spark: SparkSession, root: str, kind: str = "page") -> DataFrame:

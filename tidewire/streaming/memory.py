@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidewire import streaming
 from tidewire.functions import text
-from tidewire.runtime import prepare
+from tidewire.runtime import carried, prepare
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RECALLED = "key string, number long, at_us long, known boolean"
@@ -63,7 +64,8 @@ def remember(rows: DataFrame, key: Column, at: str, number: Column, life: Column
     prepare(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     named = rows.filter(F.col(at).isNotNull()).select(F.coalesce(key.cast("string"), F.lit("")).alias("key"), F.col(at).alias("at"), F.unix_micros(F.col(at)).alias("at_us"), number.cast("long").alias("number"), (life.cast("double") * 1_000_000).cast("long").alias("life_us"))
-    return named.withWatermark("at", late).groupBy("key").transformWithStateInPandas(Remember(), RECALLED, "Append", "EventTime")
+    with carried(streaming):
+        return named.withWatermark("at", late).groupBy("key").transformWithStateInPandas(Remember(), RECALLED, "Append", "EventTime")
 
 
 def first_seen(posts: DataFrame, hours: float, late: str = "0 seconds") -> DataFrame:
