@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewire.operators.ordering import PLACE_BITS, numbered
 from tidewire.runtime import materialise, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,18 +23,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = (3, 1, 2)
 #: Hexadecimal digits of a hash that make a random number; all are exact in a double.
 DIGITS = 13
-#: monotonically_increasing_id() has the partition above these bits.
-PLACE_BITS = 33
-
-
-def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
-    """rows with number (from 0) in the given order, which nothing but equal rows may leave open; no task sees more than a range of it."""
-    lanes = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialise(rows.repartitionByRange(lanes, *order).sortWithinPartitions(*order).withColumn("tw_at", F.monotonically_increasing_id()), name)
-    part = F.shiftright("tw_at", PLACE_BITS)
-    counts = placed.groupBy(part.alias("tw_part")).agg(F.count("*").alias("tw_count"))
-    before = counts.select("tw_part", (F.sum("tw_count").over(Window.orderBy("tw_part")) - F.col("tw_count")).alias("tw_before"))  # a row for each range
-    return placed.withColumn("tw_part", part).join(before, "tw_part").withColumn("number", F.col("tw_before") + F.col("tw_at").bitwiseAND((1 << PLACE_BITS) - 1)).drop("tw_at", "tw_part", "tw_before")
 
 
 def targets(sources: DataFrame, share: float, most: int) -> DataFrame:
