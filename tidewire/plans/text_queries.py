@@ -360,7 +360,7 @@ def source_checks(spark, sf_dir):
 
 @query(
     "chain_demo",
-    """SELECT o_orderkey AS source_id, 'https://e.com/e/' || CAST(o_orderkey AS VARCHAR) || '?x=1' AS url, 'Obra ' || CAST(o_orderkey AS VARCHAR) AS venue_name, CAST(epoch(TIMESTAMP '2024-05-06 00:00:00') AS BIGINT) AS start_at, true AS is_event FROM orders""",
+    """SELECT o_orderkey AS source_id, 'https://e.com/e/' || CAST(o_orderkey AS VARCHAR) || '?x=1' AS url, 'Obra ' || CAST(o_orderkey AS VARCHAR) AS venue_name, CAST(epoch(TIMESTAMP '2024-05-06 03:00:00') AS BIGINT) AS start_at, true AS is_event FROM orders""",
 )
 def chain_demo(spark, sf_dir):
     """From a page to a candidate without any model: parse cards, then what their words say."""
