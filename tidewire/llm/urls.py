@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.urls import resolve
@@ -122,22 +122,24 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chained_pages(pages: DataFrame) -> DataFrame:
-    """A pages table with links, made of page_id alone: five pages to a chain, each naming the next in another way.
+    """A pages table with links, made of page_id alone: five pages to a chain, each naming the next there is in another way.
 
-    The last of every third chain names a blocked url, which makes all of that chain its aliases.
+    The last of every third chain names a blocked url, which makes all of that chain its aliases. No allow rule's path
+    begins like that url's, whatever the chain's number.
     """
-    k, chain = F.col("page_id") % 5, F.floor(F.col("page_id") / 5)
-    url = F.concat(F.lit("https://W"), chain.cast("string"), F.lit(".example.org/a/b/"), F.col("page_id").cast("string"))
-    after = (F.col("page_id") + 1).cast("string")
+    chain = F.expr("page_id div 5")
+    k = F.abs(F.col("page_id") % 5)
+    number, after = chain.cast("string"), F.lead("page_id").over(Window.partitionBy(chain).orderBy("page_id")).cast("string")
+    url = F.concat(F.lit("https://W"), number, F.lit(".example.org/a/b/"), F.col("page_id").cast("string"))
     tag = lambda *parts: F.concat(F.lit('<link rel="canonical" href="'), *parts, F.lit('">'))
     html = (
-        F.when(k == 0, tag(after))
-        .when(k == 1, tag(F.lit("../../../a/./b/"), after, F.lit("#top")))
-        .when(k == 2, F.concat(F.lit("<head><base href='/a/'>"), tag(F.lit("b/"), after)))
-        .when(k == 3, F.concat(F.lit('<meta http-equiv="refresh" content="0; url=//w'), chain.cast("string"), F.lit(".example.org/a/b/"), after, F.lit('">')))
-        .when(chain % 3 == 0, tag(F.lit("https://www.example.com/en/"), chain.cast("string")))
+        F.when((F.col("page_id") % 5 == 4) & (chain % 3 == 0), tag(F.lit("https://www.example.com/en/c"), number))
+        .when(k == 0, tag(F.col("after")))
+        .when(k == 1, tag(F.lit("../../../a/./b/"), F.col("after"), F.lit("#top")))
+        .when(k == 2, F.concat(F.lit("<head><base href='/a/'>"), tag(F.lit("b/"), F.col("after"))))
+        .when(k == 3, F.concat(F.lit('<meta http-equiv="refresh" content="0; url=//w'), number, F.lit(".example.org/a/b/"), F.col("after"), F.lit('">')))
     )
-    return pages.select("page_id", url.alias("url"), html.alias("html"))
+    return pages.withColumn("after", after).select("page_id", url.alias("url"), html.alias("html"))
 
 
 def chained_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
