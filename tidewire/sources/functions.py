@@ -23,7 +23,7 @@ from .landed import PARSERS
 
 #: What each kind of document is read into, besides ordinal and error.
 COLUMNS = {
-    "page": (("title", StringType()), ("links", IntegerType())),
+    "page": (("title", StringType()), ("title_written", StringType()), ("links", IntegerType())),
     "cards": tuple((c, StringType()) for c in ("title", "link", "body", "published", "when")),
     "feed": (*((c, StringType()) for c in ("title", "link", "body", "published", "guid")), ("categories", ArrayType(StringType()))),
 }

@@ -11,6 +11,7 @@ import json
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from tidewire.store import DIGITS, LOG, Versions
 
 from .feeds import FetchError, Outline, read_cards, read_feed
 
-SCHEMA = "version long, name string, source_id string, url string, ordinal int, title string, link string, links int, error string"
+SCHEMA = "version long, name string, source_id string, url string, ordinal int, title string, title_written string, link string, links int, error string"
 #: Bytes of files that make a partition, and documents that are parsed at once.
 PARTITION_BYTES, BATCH = 32 << 20, 256
 
@@ -39,15 +40,16 @@ def bucket_of(source_id: str | None, buckets: int) -> int:
 
 
 def parse_page(body: str) -> list[dict]:
-    """One row: the page's title and the number of its links."""
-    steps = Outline(body).steps
-    inside, title = False, []
+    """One row: the page's title, the same as it is written (its character references left as they are), the number of its links."""
+    steps = Outline(body.replace("&", "&amp;")).steps
+    inside, written = False, []
     for kind, tag, _ in steps:
         if kind == "text" and inside:
-            title.append(tag)
+            written.append(tag)
         elif tag == "title":
             inside = kind == "open"
-    return [{"title": " ".join(title) or None, "links": sum(kind == "open" and tag == "a" and "href" in given for kind, tag, given in steps)}]
+    title = " ".join(filter(None, (unescape(w).strip() for w in written)))
+    return [{"title": title or None, "title_written": " ".join(written) or None, "links": sum(kind == "open" and tag == "a" and "href" in given for kind, tag, given in steps)}]
 
 
 #: How a document becomes rows, by the option `kind`: a page itself, its event cards, a feed's items.
