@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from tidewire.config import contradictions, split_list
 from tidewire.functions import text
 from tidewire.operators import consensus, extract, runs
 from tidewire.runtime import materialise, scratch, table
-from tidewire.sources import catalogs, clients, fetch, providers, resilience
+from tidewire.sources import catalogs, clients, database, fetch, providers, resilience
 from tidewire.store import Lock, Versions
 
 from .registry import query
@@ -220,12 +219,12 @@ def connection_settings(spark, sf_dir):
 def database_orders(spark, sf_dir):
     """All orders written into a database and read back by eight connections, those that are done by a filter in the database.
 
-    The database is the one that comes with Spark, embedded in this process, so this runs on one machine only; a
-    server's url takes its place on a cluster.
+    The database is a file in shared scratch that the driver and all executors open; a server's url takes its place on
+    a cluster of several machines.
     """
-    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    url = f"{database.SCHEME}{scratch(spark, 'orders-database')}"
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"))
-    clients.write_table(rows, url, "ORDERS", "o_orderkey BIGINT, o_orderstatus VARCHAR(8)")
+    clients.write_table(rows, url, "ORDERS")
     found = clients.read_parts(spark, url, "ORDERS", "o_orderkey", 8).filter("o_orderstatus = 'F'")
     return found.select("o_orderkey", "o_orderdate", F.round("o_totalprice", 2).alias("o_totalprice"))
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import database
 
 DATABASES = ("postgres://", "postgresql://", "jdbc:")
 
@@ -56,7 +57,10 @@ def read_parts(spark: SparkSession, url: str, table: str, column: str, parts: in
     The stretches lie between the column's least and greatest value, which the database is asked for first; rows
     with a null there come with the first. Filters and columns of what follows reach the database. Everything is
     read within `fetch_rows` rows at a time, so a task holds no table. A table without rows is read by one connection.
+    A url that begins with sqlite: is a database in a file that all processes share.
     """
+    if url.startswith(database.SCHEME):
+        return database.read(spark, url, table, column, parts, fetch_rows)
     options = jdbc_options(url, table)
     ends = spark.read.format("jdbc").options(**options | {"dbtable": f'(SELECT min("{column}") AS low, max("{column}") AS high FROM {table}) ends'}).load().toDF("low", "high").first()
     reader = spark.read.format("jdbc").options(**options).option("fetchsize", fetch_rows)
@@ -66,7 +70,12 @@ def read_parts(spark: SparkSession, url: str, table: str, column: str, parts: in
 
 
 def write_table(rows: DataFrame, url: str, table: str, kinds: str | None = None, parts: int = 8) -> None:
-    """Write rows into a new or emptied table of a database, over `parts` connections at most; kinds may name its columns' types."""
+    """Write rows into a new or emptied table of a database, over `parts` connections at most; kinds may name its columns' types.
+
+    A database in a file (sqlite:) takes its columns' types from the rows.
+    """
+    if url.startswith(database.SCHEME):
+        return database.write(rows, url, table, parts)
     options = jdbc_options(url, table) | ({"createTableColumnTypes": kinds} if kinds else {})
     rows.coalesce(parts).write.format("jdbc").options(**options).option("truncate", True).mode("overwrite").save()
 
