@@ -2,27 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewire.config import DEFAULT, Settings
-from tidewire.functions.geo import haversine_km
+from tidewire.functions.geo import EARTH_KM, haversine_km
+from tidewire.runtime import materialise, prepare
 
 
-def _meters(a: Column, b: Column) -> Column:
-    return haversine_km(a["latitude"], a["longitude"], b["latitude"], b["longitude"]) * 1000
+def labels(latitude: np.ndarray, longitude: np.ndarray, meters: float) -> np.ndarray:
+    """Clusters of points in their order: each joins the first cluster that has a member within the limit, else begins one.
 
-
-def clusters(points: Column, limit: float, kind: str) -> Column:
-    """An array of points (of the type `kind`) as an array of clusters: in their order each joins the first that has a member within the limit."""
-
-    def join(found: Column, x: Column) -> Column:
-        near = F.transform(found, lambda c: F.exists(c, lambda m: F.coalesce(_meters(m, x) <= limit, F.lit(False))))
-        at = F.array_position(near, F.lit(True))
-        joined = F.transform(found, lambda c, k: F.when(k == at - 1, F.concat(c, F.array(x))).otherwise(c))
-        return F.when(at == 0, F.concat(found, F.array(F.array(x)))).otherwise(joined)
-
-    return F.aggregate(points, F.expr(f"cast(array() as array<array<{kind}>>)"), join)
+    Points without coordinates (NaN) are near none. Copies of a point are compared once: each distinct point knows the
+    first cluster that has come near it, which changes only when a distinct point is new to a cluster.
+    """
+    there = ~(np.isnan(latitude) | np.isnan(longitude))
+    points, at = np.unique(np.stack([latitude[there], longitude[there]], axis=1), axis=0, return_inverse=True)
+    code = np.full(len(latitude), -1)
+    code[there] = at.reshape(-1)
+    ys, y, x = points[:, 0], np.radians(points[:, 0]), np.radians(points[:, 1])
+    band = np.degrees(meters / 1000 / EARTH_KM) * (1 + 1e-9) + 1e-9
+    none = len(latitude)
+    near, joined = np.full(len(points), none), np.full(len(points), none)
+    out, made = np.empty(len(latitude), np.int64), 0
+    for i, p in enumerate(code.tolist()):
+        c = made if p < 0 else min(int(near[p]), made)
+        out[i] = c
+        made = max(made, c + 1)
+        if p >= 0 and joined[p] != c:
+            joined[p] = c
+            low, high = np.searchsorted(ys, ys[p] - band), np.searchsorted(ys, ys[p] + band, "right")
+            h = np.sin((y[low:high] - y[p]) / 2) ** 2 + np.cos(y[p]) * np.cos(y[low:high]) * np.sin((x[low:high] - x[p]) / 2) ** 2
+            close = low + np.flatnonzero(2 * EARTH_KM * np.arcsin(np.sqrt(h)) * 1000 <= meters)
+            near[close] = np.minimum(near[close], c)
+    return out
+
+
+def _labelled(rows: DataFrame, meters: float) -> DataFrame:
+    """rows (query, many, k and a point) with label, the cluster of their query that they are in; k if there is one provider."""
+
+    def label(group: pa.Table) -> pa.Table:
+        k = group["k"].to_numpy()
+        found = k.astype(np.int64)
+        if group["many"][0].as_py() > 1:
+            order = np.argsort(k)
+            y, x = (group[c].to_numpy().astype(float)[order] for c in ("latitude", "longitude"))
+            found[order] = labels(y, x, meters)
+        return group.append_column("label", pa.array(found))
+
+    return rows.groupBy("query").applyInArrow(label, StructType([*rows.schema.fields, StructField("label", LongType())]))
 
 
 def agree(candidates: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -30,49 +61,60 @@ def agree(candidates: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
     With one provider its candidates stay as they are. Else candidates are clustered by distance, best first, and if
     the best cluster holds enough providers closely enough, it alone is returned, at its weighted centre. A score of
-    zero counts as none. A point without coordinates is near none. A query's candidates are few (each provider's
-    limit), so a query is one row with an array, and the clusters are a fold over it.
+    zero counts as none. A point without coordinates is near none. A query's candidates are clustered in one task,
+    which costs their number and the distinct points that are new to a cluster; how far a cluster's points lie apart is a
+    join of its distinct points.
     """
-    point = F.struct("provider", "ordinal", "display_name", F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"), F.coalesce(F.when(F.col("confidence") != 0, F.col("confidence")), F.col("importance"), F.lit(0.0)).cast("double").alias("score"))
-    rows = candidates.select("query", point.alias("x"))
-    kind = rows.schema["x"].dataType.simpleString()
-    by_query = rows.groupBy("query").agg(F.collect_list(F.struct(F.col("x.provider").alias("p"), F.col("x.ordinal").alias("o"), "x")).alias("in_turn"), F.collect_list(F.struct((-F.col("x.score")).alias("s"), F.col("x.provider").alias("p"), F.col("x.ordinal").alias("o"), "x")).alias("by_score"), F.count_distinct("x.provider").alias("many"))
-    alone = F.transform(F.array_sort("in_turn"), lambda e: F.array(e["x"]))
-    grouped = F.when(F.col("many") > 1, clusters(F.transform(F.array_sort("by_score"), lambda e: e["x"]), s.consensus_meters, kind)).otherwise(alone)
-
-    def told(c: Column, k: Column) -> Column:
-        best = F.get(c, F.lit(0))
-        names = F.array_sort(F.array_distinct(F.transform(c, lambda m: m["provider"])))
-        apart = F.coalesce(F.array_max(F.flatten(F.transform(c, lambda a: F.transform(c, lambda b: _meters(a, b))))), F.lit(0.0))
-        weights = F.transform(c, lambda m: F.when(m["score"] > 0, m["score"]).otherwise(1.0))
-        centre = lambda f: F.aggregate(F.zip_with(c, weights, lambda m, w: m[f] * w), F.lit(0.0), lambda a, x: a + x) / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-        agreed = (F.col("many") > 1) & (F.size(names) >= s.consensus_providers) & (apart <= s.consensus_meters)
-        edge = lambda f, which: F.round(which(F.transform(c, lambda m: m[f])), 6)
-        distance = F.round(apart, 1)
-        return F.struct(
-            F.when(F.col("many") > 1, F.struct((-F.size(names)).alias("n"), (-best["score"]).alias("s"), distance.alias("d"), k.alias("k"))).otherwise(F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("d"), k.alias("k"))).alias("rank"),
-            F.when(agreed, "consensus").otherwise(best["provider"]).alias("provider"),
-            best["display_name"].alias("display_name"),
-            F.when(agreed, centre("latitude")).otherwise(best["latitude"]).alias("latitude"),
-            F.when(agreed, centre("longitude")).otherwise(best["longitude"]).alias("longitude"),
-            best["score"].alias("score"),
-            F.size(names).alias("provider_count"),
-            F.size(c).alias("candidate_count"),
-            F.array_join(names, ",").alias("providers"),
-            edge("latitude", F.array_min).alias("min_latitude"),
-            edge("latitude", F.array_max).alias("max_latitude"),
-            edge("longitude", F.array_min).alias("min_longitude"),
-            edge("longitude", F.array_max).alias("max_longitude"),
-            distance.alias("max_distance_m"),
-            agreed.alias("consensus"),
-        )
-
-    told_of = by_query.select("query", "many", grouped.alias("c")).select("query", "many", F.array_sort(F.transform("c", told)).alias("places"))
-    first = F.get("places", F.lit(0))
-    sure = (F.col("many") > 1) & (first["provider_count"] >= s.consensus_providers) & (first["max_distance_m"] <= s.consensus_meters)
-    kept = told_of.select("query", F.when(sure, F.slice("places", 1, 1)).otherwise(F.col("places")).alias("places"))
-    out = kept.select("query", F.posexplode("places").alias("place", "x"))
-    return out.select("query", "place", *[F.col(f"x.{f}").alias(f) for f in ("provider", "display_name", "latitude", "longitude", "score", "provider_count", "candidate_count", "providers", "min_latitude", "max_latitude", "min_longitude", "max_longitude", "max_distance_m", "consensus")])
+    prepare(candidates.sparkSession)
+    score = F.coalesce(F.when(F.col("confidence") != 0, F.col("confidence")), F.col("importance"), F.lit(0.0)).cast("double")
+    rows = candidates.select("query", "provider", "ordinal", "display_name", F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"), score.alias("score"))
+    many = rows.groupBy(F.col("query").alias("of")).agg(F.count_distinct("provider").alias("many"))
+    rows = rows.join(many, rows["query"].eqNullSafe(F.col("of"))).drop("of")
+    in_turn = Window.partitionBy("query").orderBy(F.when(F.col("many") > 1, -F.col("score")), "provider", "ordinal", "display_name", "latitude", "longitude", "score")
+    rows = rows.withColumn("k", F.row_number().over(in_turn) - 1)
+    rows = materialise(_labelled(rows, s.consensus_meters), "consensus-labels")
+    weight = F.when(F.col("score") > 0, F.col("score")).otherwise(1.0)
+    found = rows.groupBy("query", "label").agg(
+        F.first("many").alias("many"),
+        F.min_by(F.struct("provider", "display_name", "latitude", "longitude", "score"), "k").alias("best"),
+        F.array_sort(F.collect_set("provider")).alias("names"),
+        F.count("*").cast("int").alias("candidate_count"),
+        *[F.round(which(c), 6).alias(f"{n}_{c}") for c in ("latitude", "longitude") for n, which in (("min", F.min), ("max", F.max))],
+        F.array_sort(F.collect_list(F.struct("k", "latitude", "longitude", weight.alias("weight")))).alias("members"),
+    )
+    points = rows.select("query", "label", "latitude", "longitude").distinct()
+    other = points.toDF("query_b", "label_b", "latitude_b", "longitude_b")
+    pairs = points.join(other, F.col("query").eqNullSafe(F.col("query_b")) & (F.col("label") == F.col("label_b")))
+    meters = haversine_km(F.col("latitude"), F.col("longitude"), F.col("latitude_b"), F.col("longitude_b")) * 1000
+    far = pairs.groupBy(F.col("query").alias("query_b"), F.col("label").alias("label_b")).agg(F.coalesce(F.max(meters), F.lit(0.0)).alias("apart"))
+    told = found.join(far, F.col("query").eqNullSafe(F.col("query_b")) & (F.col("label") == F.col("label_b"))).drop("query_b", "label_b")
+    several = F.col("many") > 1
+    agreed = several & (F.size("names") >= s.consensus_providers) & (F.col("apart") <= s.consensus_meters)
+    total = lambda of: F.aggregate("members", F.lit(0.0), lambda a, m: a + of(m))
+    centre = lambda f: F.when(agreed, total(lambda m: m[f] * m["weight"]) / total(lambda m: m["weight"])).otherwise(F.col("best")[f])
+    told = told.select(
+        "query",
+        "label",
+        "many",
+        F.when(agreed, "consensus").otherwise(F.col("best.provider")).alias("provider"),
+        "best.display_name",
+        centre("latitude").alias("latitude"),
+        centre("longitude").alias("longitude"),
+        "best.score",
+        F.size("names").alias("provider_count"),
+        "candidate_count",
+        F.array_join("names", ",").alias("providers"),
+        "min_latitude",
+        "max_latitude",
+        "min_longitude",
+        "max_longitude",
+        F.round("apart", 1).alias("max_distance_m"),
+        agreed.alias("consensus"),
+    )
+    ranked = Window.partitionBy("query").orderBy(*[F.when(several, c) for c in (-F.col("provider_count"), -F.col("score"), F.col("max_distance_m"))], "label")
+    sure = several & (F.first("provider_count").over(ranked) >= s.consensus_providers) & (F.first("max_distance_m").over(ranked) <= s.consensus_meters)
+    placed = told.withColumns({"place": F.row_number().over(ranked) - 1, "sure": sure}).filter(~F.col("sure") | (F.col("place") == 0))
+    return placed.select("query", "place", *[c for c in told.columns if c not in ("query", "label", "many")])
 
 
 #: The names under which providers' metadata tell of a cluster.
