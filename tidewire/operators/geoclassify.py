@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from tidewire.config import DEFAULT, Settings
 from tidewire.functions import geo
 from tidewire.functions.similarity import with_fuzzy
 from tidewire.functions.text import normalize_location, present
-from tidewire.runtime import materialise
+from tidewire.runtime import materialise, spread
 from tidewire.sources.catalogs import place_names
 
 #: Names and texts up to this long also meet by stretches of two letters.
@@ -38,6 +41,25 @@ def queries_of() -> Column:
     return F.transform(F.filter(pairs, lambda p, k: F.array_position(keys, p["key"]) == k + 1), lambda p: p["query"])
 
 
+#: What may be said of a place, by name.
+SAID = {"tw_address": ("address", None), "tw_venue": ("venue_name", None), "tw_query": ("geo_query", None), "tw_told_address": ("evidence", "address"), "tw_told_venue": ("evidence", "venue_name"), "tw_told_query": ("evidence", "geo_query")}
+
+
+def kinds_of(rows: DataFrame) -> DataFrame:
+    """What rows say of their places, each combination once: the columns SAID, and text, key and queries made of them."""
+    said = spread(rows.select(*[(F.col(c) if k is None else F.col(c)[k]).alias(n) for n, (c, k) in SAID.items()]).distinct())
+    told = F.create_map(*[x for n, (_, k) in SAID.items() if k for x in (F.lit(k), F.col(n))])
+    own = said.withColumns({**{c: F.col(n) for n, (c, k) in SAID.items() if k is None}, "evidence": told})
+    made = own.select(*SAID, original_text().alias("text"), normalize_location(original_text()).alias("key"), queries_of().alias("queries"))
+    return materialise(made, "geo-kinds")  # read several times, and costly to make
+
+
+def with_kinds(rows: DataFrame, kinds: DataFrame, *more: str, where: Column | None = None) -> DataFrame:
+    """rows with the columns `more` of what kinds_of() made of them; null for rows that `where` leaves out."""
+    same = reduce(and_, ((F.col(c) if k is None else F.col(c)[k]).eqNullSafe(F.col(n)) for n, (c, k) in SAID.items()))
+    return rows.join(kinds.select(*SAID, *more), same if where is None else same & where, "left").drop(*SAID)
+
+
 def match_catalog(texts: DataFrame, places: DataFrame, column: str = "text", least: float = DEFAULT.catalog_threshold) -> DataFrame:
     """Per distinct text its best name in the catalog: key, entry columns, score and exact.
 

@@ -231,8 +231,8 @@ def location_rows(spark, sf_dir):
 def location_queries(spark, sf_dir):
     """What providers are asked about a candidate, each spelling once."""
     c = view(spark, sf_dir, "v_candidate").withColumn("geo_query", F.lit(None).cast("string")).withColumn("evidence", F.create_map(F.lit("venue_name"), F.col("venue_name")))
-    q = geoclassify.queries_of()
-    return c.select("candidate_id", F.size(q).alias("n_queries"), F.get(q, F.lit(0)).alias("first_query"), geoclassify.original_text().alias("original"))
+    told = geoclassify.with_kinds(c, geoclassify.kinds_of(c), "text", "queries")
+    return told.select("candidate_id", F.size("queries").alias("n_queries"), F.get("queries", F.lit(0)).alias("first_query"), F.col("text").alias("original"))
 
 
 @query(
