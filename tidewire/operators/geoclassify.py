@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.config import DEFAULT, Settings
 from tidewire.functions import geo
-from tidewire.functions.similarity import with_fuzzy
+from tidewire.functions.similarity import fuzzy, with_fuzzy
 from tidewire.functions.text import normalize_location, present
 from tidewire.runtime import materialise, spread
 from tidewire.sources.catalogs import place_names
@@ -74,8 +74,8 @@ def match_catalog(texts: DataFrame, places: DataFrame, column: str = "text", lea
     first = names.groupBy("matched_key").agg(F.min_by(row, F.struct("ordinal", "name_ordinal")).alias("entry"))
     exact = keys.join(first, keys.key == first.matched_key).select("key", "entry", F.lit(1.0).alias("score"), F.lit(True).alias("exact"))
     rest = keys.join(first, keys.key == first.matched_key, "left_anti")
-    scored = with_fuzzy(_meeting(rest, names), F.col("key"), F.col("matched_key"), "fz").withColumn("score", F.col("fz.weighted") * 0.5 + F.col("fz.token_set") * 0.3 + F.col("fz.token_sort") * 0.2)
-    scored = scored.filter(F.col("score") >= least)
+    scored = _meeting(rest, names).withColumn("fz", fuzzy("key", "matched_key")).withColumn("score", F.col("fz.weighted") * 0.5 + F.col("fz.token_set") * 0.3 + F.col("fz.token_sort") * 0.2)
+    scored = scored.filter(F.col("score") >= least).join(names, "matched_key")
     best = scored.groupBy("key").agg(F.max_by(F.struct(row.alias("entry"), "score"), F.struct("score", (-F.col("ordinal")).alias("a"), (-F.col("name_ordinal")).alias("b"))).alias("b"))
     return exact.unionByName(best.select("key", "b.entry", "b.score", F.lit(False).alias("exact")))
 
@@ -85,7 +85,7 @@ def _stretches(c: Column, n: int) -> Column:
 
 
 def _meeting(keys: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs that share a word, three letters in a row, or, where both are short, two.
+    """Pairs (key, matched_key) that share a word, three letters in a row, or, where both are short, two; each once.
 
     Texts that share no three letters in a row have at most two thirds of a longer text's letters in
     common runs, which is below any threshold in use; only short ones get further.
@@ -95,7 +95,7 @@ def _meeting(keys: DataFrame, names: DataFrame) -> DataFrame:
         short = F.when(F.length(c) <= SHORT, F.transform(_stretches(c, 2), lambda x: F.concat(F.lit("2"), x))).otherwise(F.array().cast("array<string>"))
         return F.array_distinct(F.concat(F.transform(F.split(c, " "), lambda x: F.concat(F.lit("w"), x)), F.transform(_stretches(c, 3), lambda x: F.concat(F.lit("3"), x)), short))
 
-    left, right = keys.withColumn("g", F.explode(marks(F.col("key")))), names.withColumn("g", F.explode(marks(F.col("matched_key"))))
+    left, right = keys.withColumn("g", F.explode(marks(F.col("key")))), names.select("matched_key", F.explode(marks(F.col("matched_key"))).alias("g")).distinct()
     return left.join(right, "g").drop("g").distinct()
 
 
@@ -118,20 +118,26 @@ def from_catalog(found: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return close.select("key", F.when(F.coalesce(out, F.lit(False)), "rejected").otherwise(geo.decision(conf, s)).alias("decision"), conf.alias("confidence"), e["latitude"].alias("latitude"), e["longitude"].alias("longitude"), e["city"].alias("city"), e["state"].alias("state"), e["country_code"].alias("country_code"), F.lit("catalog").alias("precision"), F.lit("catalog").alias("provider"), e["name"].alias("matched_catalog_entry"), F.array(F.when(F.col("exact"), "catalog_exact_match").otherwise("catalog_fuzzy_match")).alias("reasons"), F.struct(*[c.alias(n) for n, c in parts.items()]).alias("breakdown"))
 
 
-def from_candidates(rows: DataFrame, exact_names: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Decisions from providers' candidates: key and the columns of providers.CANDIDATE; one row per key.
+#: Parts of the confidence that rest on a candidate alone, and not on the text that it was asked for.
+OWN_PARTS = geo.CONFIDENCE_PARTS[1:]
+#: Candidates whose parts sum to less than the best by this cannot win, however floating-point sums are rounded.
+LESS = 1e-8
 
-    exact_names (key, name): catalog names that a normalised text is exactly. If the two most confident
-    candidates are less than 0.1 apart, a person decides; else the best composite confidence does.
+
+def standing(rows: DataFrame, exact_names: DataFrame, by: str, s: Settings = DEFAULT) -> DataFrame:
+    """Of the candidates that share `by` those that can decide: (by, normalized_name, unclear, x); x is a candidate with its parts.
+
+    If the two most confident are less than 0.1 apart, the first of them decides alone. Else the best composite
+    confidence decides, whose other part is the same for all candidates of one name: of each name only those remain
+    whose own parts sum to the most, and of equal ones the first. So what a text must be held against does not
+    grow with the number of candidates.
     """
     lookup = exact_names.select(F.col("key").alias("normalized_name"), F.col("name").alias("named")).dropDuplicates(["normalized_name"])
     rows = rows.join(lookup, "normalized_name", "left")
     sure = geo.clamp01(F.coalesce(F.when(F.col("confidence") != 0, F.col("confidence")), F.col("importance"), F.lit(0.0)))
     inside = F.when(geo.in_area(F.col("latitude"), F.col("longitude"), s), 1.0).otherwise(0.0)
     or_area = lambda m: F.when(m > 0, m).otherwise(inside)
-    rows = with_fuzzy(rows, F.col("key"), F.col("normalized_name"), "fz")
     parts = {
-        "text_similarity": F.greatest("fz.weighted", "fz.token_set", "fz.token_sort"),
         "city_match": or_area(geo.name_match(F.col("city"), s.city)),
         "state_match": or_area(geo.name_match(F.col("state"), s.state)),
         "country_match": or_area(geo.country_match(F.col("country_code"), s)),
@@ -139,14 +145,38 @@ def from_candidates(rows: DataFrame, exact_names: DataFrame, s: Settings = DEFAU
         "provider_confidence": sure,
         "catalog_exact_match": F.when(F.col("named").isNotNull(), 1.0).otherwise(0.0),
     }
-    rows = rows.withColumn("sure", sure).withColumn("breakdown", F.struct(*[c.alias(n) for n, c in parts.items()])).withColumn("total", geo.confidence({n: F.col("breakdown")[n] for n in parts}, s))
-    by_sure = Window.partitionBy("key").orderBy(F.desc("sure"), "provider", "ordinal")
-    ranked = rows.withColumn("n", F.row_number().over(by_sure)).withColumn("next", F.lead("sure").over(by_sure))
-    close = ranked.filter("n = 1 and next is not null and sure - next < 0.1").select("key", F.struct("*").alias("top"))
-    every = rows.groupBy("key").agg(F.max_by(F.struct(*rows.columns), F.struct("total", (-F.col("ordinal")).alias("o"))).alias("best"))
-    both = every.join(close, "key", "left")
-    use = lambda n: F.when(F.col("top").isNotNull(), F.col("top")[n]).otherwise(F.col("best")[n])
-    picked = both.select("key", F.col("top").isNotNull().alias("unclear"), *[use(n).alias(n) for n in ("latitude", "longitude", "city", "state", "country_code", "precision", "provider", "named", "breakdown", "total")])
+    x = F.struct("ordinal", "latitude", "longitude", "city", "state", "country_code", "precision", "provider", "named", F.struct(*[F.col(p) for p in OWN_PARTS]).alias("parts"))
+    rows = rows.withColumns(parts).select(by, "normalized_name", "provider", "ordinal", *OWN_PARTS, x.alias("x"))
+    by_sure = Window.partitionBy(by).orderBy(F.desc("provider_confidence"), "provider", "ordinal")
+    two = rows.withColumn("n", F.row_number().over(by_sure)).filter("n <= 2")
+    tops = two.groupBy(by).agg(F.min_by(F.struct("normalized_name", "x"), "n").alias("top"), (F.min_by("provider_confidence", "n") - F.max_by("provider_confidence", "n") < 0.1).alias("near"), F.count("*").alias("count"))
+    tops = tops.filter("count = 2 and near").select(by, "top.normalized_name", F.lit(True).alias("unclear"), "top.x")
+    first = rows.groupBy(by, "normalized_name", *OWN_PARTS).agg(F.min_by("x", "ordinal").alias("x"))
+    if min(s.geo_weights) >= 0:
+        own = sum((F.col(p) * w for p, w in zip(OWN_PARTS, s.geo_weights[1:])), F.lit(0.0))
+        first = first.withColumn("own", own).withColumn("most", F.max("own").over(Window.partitionBy(by, "normalized_name"))).filter(F.col("own") >= F.col("most") - LESS)
+    best = first.join(tops.select(by), by, "left_anti").select(by, "normalized_name", F.lit(False).alias("unclear"), "x")
+    return materialise(tops.unionByName(best), "geo-standing")
+
+
+def from_candidates(rows: DataFrame, exact_names: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Decisions from providers' candidates: key and the columns of providers.CANDIDATE; one row per key.
+
+    exact_names (key, name): catalog names that a normalised text is exactly. If the two most confident
+    candidates are less than 0.1 apart, a person decides; else the best composite confidence does.
+    """
+    return judged(standing(rows, exact_names, "key", s), s)
+
+
+def judged(rows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """Decisions of keys from what standing() returns, with the key that each row is held against; one row per key."""
+    rows = with_fuzzy(rows, F.col("key"), F.col("normalized_name"), "fz")
+    text = F.greatest("fz.weighted", "fz.token_set", "fz.token_sort")
+    rows = rows.withColumn("breakdown", F.struct(text.alias("text_similarity"), *[F.col("x.parts")[n].alias(n) for n in OWN_PARTS]))
+    rows = rows.withColumn("total", geo.confidence({n: F.col("breakdown")[n] for n in geo.CONFIDENCE_PARTS}, s))
+    row = F.struct("unclear", "x", "breakdown", "total")
+    best = rows.groupBy("key").agg(F.max_by(row, F.struct("total", (-F.col("x.ordinal")).alias("o"))).alias("b"))
+    picked = best.select("key", "b.unclear", *[F.col("b.x")[n].alias(n) for n in ("latitude", "longitude", "city", "state", "country_code", "precision", "provider", "named")], "b.breakdown", "b.total")
     away = (F.col("country_code") != "") & (F.lower("country_code") != s.country)
     away = F.coalesce(away, F.lit(False))
     outside = ~geo.in_area(F.col("latitude"), F.col("longitude"), s)
@@ -158,11 +188,15 @@ def from_candidates(rows: DataFrame, exact_names: DataFrame, s: Settings = DEFAU
     return picked.select("key", dec.alias("decision"), F.col("total").alias("confidence"), "latitude", "longitude", "city", "state", "country_code", "precision", "provider", F.col("named").alias("matched_catalog_entry"), F.filter(F.concat(first, own), lambda x: x.isNotNull()).alias("reasons"), "breakdown")
 
 
+def first_asked(queries: DataFrame, answers: DataFrame) -> DataFrame:
+    """(key, query): the first query of each key (key, position, query) that has any candidates in answers (query, ...)."""
+    usable = queries.join(answers.select("query").distinct(), "query", "left_semi")
+    return usable.groupBy("key").agg(F.min_by("query", "position").alias("query"))
+
+
 def first_answers(queries: DataFrame, answers: DataFrame) -> DataFrame:
     """Candidates of the first query of each key (key, position, query) that has any in answers (query, ...)."""
-    usable = queries.join(answers.select("query").distinct(), "query", "left_semi")
-    first = usable.groupBy("key").agg(F.min_by("query", "position").alias("query"))
-    return first.join(answers, "query")
+    return first_asked(queries, answers).join(answers, "query")
 
 
 def primary_or_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
@@ -187,17 +221,16 @@ def classify(rows: DataFrame, places: DataFrame, answers: DataFrame, s: Settings
     providers' candidates. Given coordinates are judged as they are; then the catalog; then providers.
     """
     given = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    texts = rows.filter(~given).select("id", original_text().alias("text"), normalize_location(original_text()).alias("key"), queries_of().alias("queries"))
-    texts = materialise(texts, "geo-texts")  # read four times, and costly to make
-    found = match_catalog(texts, places)
+    kinds = kinds_of(rows.filter(~given))
+    found = match_catalog(kinds, places)
     catalog = materialise(from_catalog(found, s), "geo-catalog")
-    open_ = texts.join(catalog.select("key"), "key", "left_anti").filter("key <> ''")
+    open_ = kinds.join(catalog.select("key"), "key", "left_anti").filter("key <> ''")
     asked = open_.select("key", F.posexplode("queries").alias("position", "query")).dropDuplicates(["key", "position"])
     exact = place_names(places).select(F.col("matched_key").alias("key"), "name")
-    provided = from_candidates(first_answers(asked, answers), exact, s)
+    provided = judged(first_asked(asked, answers).join(standing(answers, exact, "query", s), "query").drop("query"), s)
     decided = catalog.unionByName(provided)
     inside = geo.in_area(F.col("latitude"), F.col("longitude"), s)
-    joined = rows.join(texts.select("id", "key"), "id", "left").join(decided.select("key", F.struct(*[c for c in decided.columns if c != "key"]).alias("g")), "key", "left")
+    joined = with_kinds(rows, kinds, "key", where=~given).join(decided.select("key", F.struct(*[c for c in decided.columns if c != "key"]).alias("g")), "key", "left")
     missing = F.coalesce(F.col("key"), F.lit("")) == ""
     dec = F.when(given, F.when(inside, "accepted").otherwise("rejected")).otherwise(F.coalesce("g.decision", F.lit("unresolved")))
     reasons = F.when(given, F.array(F.lit("explicit_coordinates"))).when(missing, F.array(F.lit("missing_location_text"))).otherwise(F.coalesce("g.reasons", F.array(F.lit("no_geocoding_candidates"))))
