@@ -166,3 +166,24 @@ def test_word_hashes_tell_words_apart():
     half = len(found)
     assert len(h) == 2 * half and (h[:half] == h[half:]).all() and doc.tolist() == [0] * half + [1] * half
     assert len(set(h.tolist())) == len(set(found))
+
+
+def test_new_words_are_encoded_without_places():
+    """The library need not say which word an id is of; where ids do not spell the words, it is asked."""
+    text = "The quick brown fox, dañó über él Ελλάδα год 12 's don't a  b\n\tc " + " ".join(chr(97 + k % 26) * (k % 40 + 1) + "éñb"[k % 3] for k in range(1500))
+    e = Encoder(vocabulary("byte_bpe_50k.json"))
+    want, asked, tok = e.tok.encode(text, add_special_tokens=False).ids, [], e.tok
+
+    class Tok:
+        def encode(self, x, add_special_tokens):
+            asked.append(x)
+            return tok.encode(x, add_special_tokens=add_special_tokens)
+
+        def encode_batch_fast(self, x, add_special_tokens):
+            return tok.encode_batch_fast(x, add_special_tokens=add_special_tokens)
+
+    e.tok = Tok()
+    assert e.encode(text).tolist() == want and not asked
+    e._forget()
+    e.size_of[:] = 1
+    assert e.encode(text).tolist() == want and asked
